@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from burrow.llm.tokens import Encoder
+from burrow.llm.tokens import encoder
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -73,12 +73,12 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, split)
+        ids_of = encoder(tokenizer_path, split).encode
         packer = BestFit(capacity, bins, TaskContext.get().partitionId() << 36)
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         held: list[tuple] = []
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]

@@ -1,62 +1,95 @@
 """Token ids of whole texts inside tasks, by a public tokenizer file.
 
 White space never takes part in a token of the word-level tokenizers used here and never joins what stands on
-its two sides, so the ids of a text are the ids of its space-separated pieces, one after the other. Pieces
-repeat a lot; a bounded memo turns most of the work into dictionary look-ups. `split=False` turns that off for
-tokenizers in which spaces belong to tokens.
+its two sides, so the ids of a text are the ids of its pieces between white space, one after the other. Pieces
+and the words in them repeat a lot: two bounded memos, which live as long as the Python worker, turn most of the
+work into dictionary look-ups. `split=False` turns that off for tokenizers in which spaces belong to tokens.
 """
 
 from __future__ import annotations
 
 import functools
+import os
+from itertools import chain
 
 import numpy as np
+import regex
 
+#: Fixed values of the word-level tokenizer file: how it cuts lower-cased text into words, and how a word's last token ends.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+WORD_END = "</w>"
+
+#: Pieces for which Unicode normal form and lower-casing hold no surprises.
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
+#: Python's split() also splits at these, the tokenizer doesn't.
+SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
-@functools.cache
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+@functools.cache
+def encoder(path: str, split: bool = True) -> Encoder:
+    """The worker's own encoder for this file, with what it has learnt."""
+    return Encoder(path, split)
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. memo: the most pieces remembered at a time."""
+    """Texts to little-endian unsigned 32-bit ids. memo: the most pieces, and the most words, remembered at a time."""
+
+    def __init__(self, path: str, split: bool = True, memo: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-    #: Separators that every such tokenizer treats as white space.
-    BREAKS = str.maketrans("\t\n\r", "   ")
+        self.tokenizer, self.split, self.memo = Tokenizer.from_file(path), split, memo
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def __init__(self, path: str, split: bool = True, memo: int = 500_000):
-        self.tokenizer, self.split, self.memo = tokenizer(path), split, memo
-        self.known: dict[str, bytes] = {"": b""}
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    def _learn_words(self, words: list[str], portion: int = 2000) -> None:
+        for at in range(0, len(words), portion):
+            part = words[at : at + portion]
+            ids = self._ids([" ".join(part)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
+                self.words.update(zip(part, map(lambda a, b: raw[a:b], cuts, cuts[1:]), strict=True))  # noqa: C417
+            else:
+                self.words.update(zip(part, (x.tobytes() for x in self._ids(part)), strict=True))
 
-    def _learn(self, pieces: list[str]) -> None:
-        if new := list(set(pieces) - self.known.keys()):
-            if len(self.known) + len(new) > self.memo:
-                self.known = {"": b""}
-                new = list(set(pieces))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                self.known.update(zip(part, self._encode(part), strict=True))
+    def _learn(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > self.memo:
+            self.pieces.clear()
+        plain = [p for p in new if PLAIN.fullmatch(p) and "<|" not in p]
+        cut = [WORD.findall(p.lower()) for p in plain]
+        needed = set(chain.from_iterable(cut))
+        if len(self.words) + len(needed) > self.memo:
+            self.words.clear()
+        self._learn_words(list(needed.difference(self.words)))
+        known = self.words
+        self.pieces.update(zip(plain, (b"".join([known[w] for w in words]) for words in cut), strict=True))
+        if odd := set(new).difference(plain):
+            self.pieces.update(zip(odd, (x.tobytes() for x in self._ids(list(odd))), strict=True))
 
-    def encode(self, texts: list[str | None], block: int = 4_000_000) -> list[bytes]:
+    def encode(self, texts: list[str | None], block: int = 1_000_000) -> list[bytes]:
         """The ids of each text; a null text has none. Works on about `block` characters at a time."""
         if not self.split:
-            return [self._encode([t])[0] if t else b"" for t in texts]
+            return [self._ids([t])[0].tobytes() if t else b"" for t in texts]
         out: list[bytes] = []
         at = 0
         while at < len(texts):
             held, chars = [], 0
             while at < len(texts) and (not held or chars < block):
                 text = texts[at] or ""
-                held.append(text.translate(self.BREAKS).split(" "))
+                held.append(regex.split(r"[ \t\n\r]+", text) if SEPARATORS.search(text) else text.split())
                 chars += len(text)
                 at += 1
-            self._learn([piece for pieces in held for piece in pieces])
-            known = self.known
-            out += [b"".join([known[piece] for piece in pieces]) for pieces in held]
+            needed = set(chain.from_iterable(held))
+            if new := needed.difference(self.pieces):
+                kept = len(self.pieces) + len(new) <= self.memo
+                self._learn(list(new) if kept else list(needed))
+            known = self.pieces
+            out += [b"".join([known[p] for p in pieces]) for pieces in held]
         return out
