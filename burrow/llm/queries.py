@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from burrow.llm import mincut, packing, simhash, topk, toxicity
+from burrow.llm import media, mincut, packing, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,3 +82,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit WAVE, sniffed against a wrong declared type, and read back."""
+    stored = media.store_texts(table(spark, sf_dir, "documents")).withColumn("declared", F.lit("application/octet-stream"))
+    return media.read_back(media.sniff_media(stored, declared_col="declared"))
