@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from burrow.llm import media, mincut, packing, simhash, topk, toxicity
+from burrow.llm import media, mincut, packing, simhash, topk, toxicity, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,12 @@ def op8_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as 8-bit WAVE, sniffed against a wrong declared type, and read back."""
     stored = media.store_texts(table(spark, sf_dir, "documents")).withColumn("declared", F.lit("application/octet-stream"))
     return media.read_back(media.sniff_media(stored, declared_col="declared"))
+
+
+@query
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as shuffled sequences of 1024 tokens in fixed-stride shards, read back from the files."""
+    folder, count = training_order.materialise(table(spark, sf_dir, "documents"), tokenizer_path())
+    if not count:
+        return spark.createDataFrame([], "slot long, shard long, offset long, n_bytes long, crc32 long")
+    return training_order.read_shards(spark, folder).drop("ids")

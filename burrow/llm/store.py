@@ -6,6 +6,7 @@ any executor, costs one evaluation of its plan, and gives the optimizer exact si
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="burrow-")
         spark.conf.set(CHECKPOINT_DIR, found)
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
