@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from burrow.llm import media, mincut, packing, simhash, topk, toxicity, training_order
+from burrow.llm import media, mincut, packing, simhash, topk, toxicity, training_order, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,3 +98,47 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not count:
         return spark.createDataFrame([], "slot long, shard long, offset long, n_bytes long, crc32 long")
     return training_order.read_shards(spark, folder).drop("ids")
+
+
+URL_RULES = [
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"), ("block", "org", "/es/"),
+]
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page, by the rules and over redirects and canonical links."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE_SQL["op1_url_filter"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, html,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rows AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+                 || regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1) END AS node
+  FROM parts),
+links AS (
+  SELECT url AS a, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                           regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS b
+  FROM pages),
+edges AS (SELECT r.node AS a, r2.node AS b FROM links l JOIN rows r ON l.a = r.url JOIN rows r2 ON l.b = r2.url WHERE l.b <> ''),
+reach AS (
+  SELECT node AS a, node AS b FROM rows
+  UNION SELECT reach.a, e.b FROM reach JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON reach.b = e.a),
+rules(verdict, host, path) AS (VALUES
+  ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+own AS (
+  SELECT r.page_id, r.url, r.host, r.path, r.node,
+         arg_max(u.host || u.path, length(u.host || u.path)) AS rule, arg_max(u.verdict, length(u.host || u.path)) AS own
+  FROM rows r LEFT JOIN rules u ON ends_with('.' || r.host, '.' || u.host) AND starts_with(r.path, u.path)
+  GROUP BY ALL),
+spread AS (
+  SELECT reach.a AS node, min(o.own) AS spread, min(reach.b) AS component FROM reach LEFT JOIN own o ON o.node = reach.b GROUP BY reach.a)
+SELECT o.page_id, o.url, o.host, o.path, o.rule, coalesce(o.own, s.spread, 'allow') AS verdict, coalesce(s.component, o.node) AS component
+FROM own o LEFT JOIN spread s ON o.node = s.node
+"""
