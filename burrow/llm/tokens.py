@@ -10,86 +10,80 @@ from __future__ import annotations
 
 import functools
 import os
-from itertools import chain
 
 import numpy as np
 import regex
 
-#: Fixed values of the word-level tokenizer file: how it cuts lower-cased text into words, and how a word's last token ends.
+#: Fixed values of the word-level tokenizer file: how it cuts lower-cased text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-WORD_END = "</w>"
-
 #: Pieces for which Unicode normal form and lower-casing hold no surprises.
 PLAIN = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]+")
 #: Python's split() also splits at these, the tokenizer doesn't.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in the vocabulary: itself if it can be printed, else the next from 256 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 @functools.cache
 def encoder(path: str, split: bool = True) -> Encoder:
     """The worker's own encoder for this file, with what it has learnt."""
     return Encoder(path, split)
 
 
+class Words(dict):
+    """Lower-cased words to ids."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self.tokenize, self.most = tokenizer.model.tokenize, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        self[word] = ids = np.array([t.id for t in self.tokenize(letters)], "<u4").tobytes()
+        return ids
+
+
+class Pieces(dict):
+    """What stands between white space to ids."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self.words, self.tokenizer, self.most = Words(tokenizer, most), tokenizer, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        if PLAIN.fullmatch(piece) and "<|" not in piece:
+            ids = b"".join(map(self.words.__getitem__, WORD.findall(piece.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids. memo: the most pieces, and the most words, remembered at a time."""
 
-    def __init__(self, path: str, split: bool = True, memo: int = 600_000):
+    def __init__(self, path: str, split: bool = True, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.memo = Tokenizer.from_file(path), split, memo
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_words(self, words: list[str], portion: int = 2000) -> None:
-        for at in range(0, len(words), portion):
-            part = words[at : at + portion]
-            ids = self._ids([" ".join(part)])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.words.update(zip(part, map(lambda a, b: raw[a:b], cuts, cuts[1:]), strict=True))  # noqa: C417
-            else:
-                self.words.update(zip(part, (x.tobytes() for x in self._ids(part)), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > self.memo:
-            self.pieces.clear()
-        plain = [p for p in new if PLAIN.fullmatch(p) and "<|" not in p]
-        cut = [WORD.findall(p.lower()) for p in plain]
-        needed = set(chain.from_iterable(cut))
-        if len(self.words) + len(needed) > self.memo:
-            self.words.clear()
-        self._learn_words(list(needed.difference(self.words)))
-        known = self.words
-        self.pieces.update(zip(plain, (b"".join([known[w] for w in words]) for words in cut), strict=True))
-        if odd := set(new).difference(plain):
-            self.pieces.update(zip(odd, (x.tobytes() for x in self._ids(list(odd))), strict=True))
-
-    def encode(self, texts: list[str | None], block: int = 1_000_000) -> list[bytes]:
-        """The ids of each text; a null text has none. Works on about `block` characters at a time."""
+        self.tokenizer, self.split = Tokenizer.from_file(path), split
+        self.pieces = Pieces(self.tokenizer, memo)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a null text has none."""
         if not self.split:
-            return [self._ids([t])[0].tobytes() if t else b"" for t in texts]
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            held, chars = [], 0
-            while at < len(texts) and (not held or chars < block):
-                text = texts[at] or ""
-                held.append(regex.split(r"[ \t\n\r]+", text) if SEPARATORS.search(text) else text.split())
-                chars += len(text)
-                at += 1
-            needed = set(chain.from_iterable(held))
-            if new := needed.difference(self.pieces):
-                kept = len(self.pieces) + len(new) <= self.memo
-                self._learn(list(new) if kept else list(needed))
-            known = self.pieces
-            out += [b"".join([known[p] for p in pieces]) for pieces in held]
-        return out
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        of = self.pieces.__getitem__
+        return [b"".join(map(of, regex.split(r"[ \t\n\r]+", t.strip(" \t\n\r")) if SEPARATORS.search(t) else t.split())) for t in (x or "" for x in texts)]
