@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from burrow.llm import media, mincut, packing, simhash, topk, toxicity, training_order, url_filter
+from burrow.llm import line_dedup, media, mincut, mixing, packing, simhash, topk, toxicity, training_order, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,3 +142,47 @@ spread AS (
 SELECT o.page_id, o.url, o.host, o.path, o.rule, coalesce(o.own, s.spread, 'allow') AS verdict, coalesce(s.component, o.node) AS component
 FROM own o LEFT JOIN spread s ON o.node = s.node
 """
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of runs of lines of 50 words or more."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
+
+
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, mixed so that no source is repeated more than twice and none is used less than once."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "epoch", "turn")
+
+
+ORACLE_SQL["op6_source_mixing"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS s, md5(coalesce(text, '')) AS h,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens
+  FROM documents),
+totals AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY s),
+ends AS (SELECT CAST(max(tokens) AS DOUBLE) AS top, CAST(max(tokens) AS DOUBLE) / min(tokens) AS ratio FROM totals WHERE tokens > 0),
+search(turn, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT turn + 1, low + (high - low) * greatest(at - 1, 0) / 64, low + (high - low) * at / 64
+  FROM (SELECT turn, low, high,
+               coalesce(list_min(list_filter(range(65), lambda i: pow(ratio, 1 - (low + (high - low) * i / 64)) <= 2.0)), 64) AS at
+        FROM search, ends WHERE turn < 4)),
+planned AS (
+  SELECT s, tokens, CAST(floor(CASE WHEN tokens > 0 THEN round(pow(top / tokens, 1 - high), 9) ELSE 1.0 END * tokens) AS BIGINT) AS budget
+  FROM totals, ends, search WHERE turn = 4),
+used AS (
+  SELECT s, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS epochs,
+         budget - (CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END) * tokens AS rest
+  FROM planned),
+whole AS (SELECT d.doc_id, d.source, d.s, d.h, unnest(range(u.epochs)) AS epoch FROM docs d JOIN used u USING (s)),
+part AS (
+  SELECT doc_id, source, s, h, epochs AS epoch
+  FROM (SELECT *, sum(tokens) OVER (PARTITION BY s ORDER BY md5(concat_ws('|', '1', s, epochs, doc_id, h))) - tokens AS before
+        FROM docs JOIN used USING (s) WHERE rest > 0)
+  WHERE before < rest)
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, md5(concat_ws('|', '1', s, epoch, doc_id, h)) AS turn
+FROM (SELECT * FROM whole UNION ALL SELECT * FROM part)
+"""
