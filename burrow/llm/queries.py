@@ -166,9 +166,9 @@ ends AS (SELECT CAST(max(tokens) AS DOUBLE) AS top, CAST(max(tokens) AS DOUBLE)
 search(turn, low, high) AS (
   SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
   UNION ALL
-  SELECT turn + 1, low + (high - low) * greatest(at - 1, 0) / 64, low + (high - low) * at / 64
+  SELECT turn + 1, low + (high - low) * greatest(hit - 1, 0) / 64, low + (high - low) * hit / 64
   FROM (SELECT turn, low, high,
-               coalesce(list_min(list_filter(range(65), lambda i: pow(ratio, 1 - (low + (high - low) * i / 64)) <= 2.0)), 64) AS at
+               coalesce(list_min(list_filter(range(65), lambda i: pow(ratio, 1 - (low + (high - low) * i / 64)) <= 2.0)), 64) AS hit
         FROM search, ends WHERE turn < 4)),
 planned AS (
   SELECT s, tokens, CAST(floor(CASE WHEN tokens > 0 THEN round(pow(top / tokens, 1 - high), 9) ELSE 1.0 END * tokens) AS BIGINT) AS budget
@@ -186,3 +186,11 @@ part AS (
 SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, md5(concat_ws('|', '1', s, epoch, doc_id, h)) AS turn
 FROM (SELECT * FROM whole UNION ALL SELECT * FROM part)
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after the other, over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

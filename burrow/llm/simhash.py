@@ -1,16 +1,24 @@
 """SimHash near-duplicate groups over BK-trees (operator 2).
 
-Distinct fingerprints are dealt to shards: two fingerprints that differ in at most r of b blocks of bits agree
-on some b - r whole blocks, so each goes to one shard for every such choice and every link falls in a shard. A
-shard is a BK-tree whose children are keyed by their integer Hamming distance to the parent; a search follows
-only edges within the radius. Shards of more than `shard_rows` fingerprints are cut into chunks, and every
-chunk's tree is sent to each of the shard's chunks of queries, so no task holds a whole hot shard. Trees travel
-by exchange, not by a broadcast to all executors, whose size nothing would bound.
+Distinct fingerprints are dealt to shards by choices of bits on which they agree. A shard is a BK-tree whose children
+are keyed by their integer Hamming distance to the parent; a search follows only edges within the radius. Shards of
+more than `shard_rows` fingerprints are cut into chunks, and every chunk's tree is sent to each of the shard's chunks
+of queries, so no task holds a whole hot shard. Trees travel by exchange, not by a broadcast to all executors, whose
+size nothing would bound.
+
+Two ways to choose the bits:
+
+* by radius: two fingerprints that differ in at most r of b blocks agree on some b - r whole blocks, so with a shard for
+  every such choice no link is lost;
+* by similarity: a share of all 128 bits must agree. Copies that differ in a few words are too far apart for blocks, so
+  shards are sampled positions, as many as it takes to bring together 97 of 100 pairs at the designed distance.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,46 +29,65 @@ from burrow.llm.components import components
 from burrow.llm.store import written
 
 SEED = 42  # of the shingles' XXH64, as in Spark's xxhash64
+WAYS = 129  # distances that two words of 64 bits can have
 
 
-def fingerprint(text: str | None, shingle: int = 4, block: int = 200_000) -> int:
-    """The 64-bit SimHash of a whole text: A-Z lower-cased, split at ASCII white space, shingles with repeats."""
+def hashes(text: str | None, shingle: int, block: int = 200_000) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle of the whole text, in portions: A-Z lower-cased, split at ASCII white space."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(joined, SEED)
+        if words:
+            yield np.array([xxh64_intdigest(joined, SEED)], "<u8")
+        return
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     starts, ends = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    set_bits = np.zeros(64, np.int64)
     for at in range(0, len(starts), block):
         pairs = zip(starts[at : at + block], ends[at : at + block], strict=True)
-        h = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in pairs], "<u8")
-        set_bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_bits * 2 > len(starts), bitorder="little").tobytes(), "little")
+        yield np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in pairs], "<u8")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row as a signed long. Null and empty texts have 0."""
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
+    """The SimHash of a whole text in 64-bit words, zero without shingles. Later words vote with remixed hashes."""
+    counts, n = np.zeros((words, 64), np.int64), 0
+    for h in hashes(text, shingle):
+        n += len(h)
+        for w in range(words):
+            h = h if w == 0 else (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            bits = np.unpackbits((h ^ (h >> np.uint64(29)) if w else h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[w] += bits.sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(c * 2 > n, bitorder="little").tobytes(), "little") for c in counts]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
+    """(doc_id, fp, fp2): the fingerprint of every row as signed longs; fp2 is 0 if there is one word. Null and empty
+    texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.zeros((batch.num_rows, 2), np.uint64)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found[i, :words] = fingerprint(text, shingle, words)
+            signed = found.view(np.int64).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed[0]), pa.array(signed[1])], ["doc_id", "fp", "fp2"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long, fp2 long")
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
 class BKForest:
     """BK-trees of many shards at once: node i's children have the distances at which a search may enter them."""
 
     def __init__(self, fp: np.ndarray, shard: np.ndarray):
-        """fp: distinct values within a shard; shard: of each, in ascending order."""
+        """fp: rows of words, distinct within a shard; shard: of each, in ascending order."""
         n = len(fp)
         self.fp = fp
         self.shard_ids, roots = np.unique(shard, return_index=True)
@@ -69,16 +96,16 @@ class BKForest:
         rest = np.setdiff1d(np.arange(n), roots, assume_unique=True)
         at = roots[np.searchsorted(self.shard_ids, shard[rest])]
         while len(rest):
-            key = at * 65 + np.bitwise_count(fp[rest] ^ fp[at])
+            key = at * WAYS + differing(fp[rest], fp[at])
             slots, first, slot = np.unique(key, return_index=True, return_inverse=True)
             nodes = rest[first]  # the first at each distance becomes the child there, and the others go below it
-            parent[nodes], edge[nodes] = slots // 65, slots % 65
+            parent[nodes], edge[nodes] = slots // WAYS, slots % WAYS
             below = np.ones(len(rest), bool)
             below[first] = False
             at, rest = nodes[slot][below], rest[below]
         order = np.lexsort((edge, parent))
         order = order[parent[order] >= 0]
-        self.child, self.child_key = order, parent[order] * 65 + edge[order]
+        self.child, self.child_key = order, parent[order] * WAYS + edge[order]
 
     def within(self, query: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query index, node) of all nodes of the query's shard within the radius."""
@@ -87,12 +114,12 @@ class BKForest:
         q, node = np.flatnonzero(known), self.roots[where[known]]
         found_q, found_node = [], []
         while len(q):
-            d = np.bitwise_count(query[q] ^ self.fp[node]).astype(np.int64)
+            d = differing(query[q], self.fp[node])
             hit = d <= radius
             found_q.append(q[hit])
             found_node.append(node[hit])
-            low = np.searchsorted(self.child_key, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.child_key, node * 65 + np.minimum(d + radius, 64), side="right")
+            low = np.searchsorted(self.child_key, node * WAYS + np.maximum(d - radius, 0))
+            high = np.searchsorted(self.child_key, node * WAYS + np.minimum(d + radius, WAYS - 1), side="right")
             count = high - low
             q = np.repeat(q, count)
             node = self.child[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
@@ -116,17 +143,17 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def _search(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int, step: int = 1024):
+def _search(shard: np.ndarray, node: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int, step: int = 1024):
     """Links (a, b) that connect, within these whole shards, what the trees (role 0 or 2) find for queries (1 or 2)."""
     in_tree, asks = role != 1, role != 0
     forest = BKForest(fp[in_tree], shard[in_tree])
-    values, place = np.unique(fp, return_inverse=True)
+    values, place = np.unique(node, return_inverse=True)
     tree_place, ask_place, ask_fp, ask_shard = place[in_tree], place[asks], fp[asks], shard[asks]
 
     def portions():
         for at in range(0, len(ask_fp), step):
-            q, node = forest.within(ask_fp[at : at + step], ask_shard[at : at + step], radius)
-            yield ask_place[at + q], tree_place[node]
+            q, found = forest.within(ask_fp[at : at + step], ask_shard[at : at + step], radius)
+            yield ask_place[at + q], tree_place[found]
 
     label = spanning(len(values), portions())
     linked = np.flatnonzero(label != np.arange(len(values)))
@@ -134,16 +161,15 @@ def _search(shard: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int, st
 
 
 def _links(keyed: DataFrame, radius: int) -> DataFrame:
-    """keyed: (shard, part, fp, role), whole (shard, part) groups in a partition, in order."""
+    """(a, b) of keyed: (shard, part, node, fp, fp2, role), whole (shard, part) groups in a partition, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(parts):
-            shard, part, fp, role = (np.concatenate(x) for x in zip(*parts, strict=True))
-            change = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+            shard, part, node, fp, fp2, role = (np.concatenate(x) for x in zip(*parts, strict=True))
             group = np.zeros(len(shard), np.int64)
-            group[change] = 1
-            a, b = _search(np.cumsum(group), fp.view(np.uint64), role, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            group[1:] = (np.diff(shard) != 0) | (np.diff(part) != 0)
+            a, b = _search(np.cumsum(group), node, np.stack((fp, fp2), axis=1).view(np.uint64), role, radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         held, rows = [], 0
         for batch in batches:
@@ -166,57 +192,91 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long")
 
 
-def shard_keys(n: int, radius: int, fill: int = 4096) -> list[int]:
-    """Bit masks, one for each way to choose the blocks that agree; more blocks, as long as shards would hold over `fill`."""
+def block_keys(n: int, radius: int, fill: int = 4096) -> list[int]:
+    """Bit masks, one for each choice of blocks that agree; more blocks, as long as shards would hold over `fill`."""
     for blocks in range(radius + 1, 65):
         edges = [64 * i // blocks for i in range(blocks + 1)]
         masks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
         chosen = [sum(c) for c in itertools.combinations(masks, blocks - radius)]
         if n <= fill << min(m.bit_count() for m in chosen) or len(chosen) > 70:
-            return chosen
+            break
     return chosen
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, shard_rows: int = 4096
-) -> DataFrame:
-    """Groups of documents whose fingerprints are linked by steps of at most `radius` bits.
-
-    Returns a row per input row: doc_id, fingerprint (16 hex digits), component_id (the least doc_id of the
-    group). Null, empty and blank texts have fingerprint zero and are linked like any other; texts of fewer
-    words than a shingle are one shingle. Rows with equal ids are each returned; null ids are returned and never
-    name a group that has another id. Other columns are not read. An empty table gives no rows.
-    """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    masks = shard_keys(distinct.count(), radius)
-    keyed = written(
-        distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])).alias("k"))
-        .select(F.xxhash64("k.band", "k.bits").alias("shard"), "fp"),
-        "keyed",
-    )
-    hot = keyed.groupBy("shard").count().where(F.col("count") > shard_rows)
-    hot = written(hot.select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("chunks")), "hot")
-    small = keyed.join(hot, "shard", "left_anti").select("shard", F.lit(0).alias("part"), "fp", F.lit(2).alias("role"))
-    large = (
-        keyed.join(hot, "shard")
-        .withColumn("own", F.pmod(F.xxhash64("fp", "shard"), "chunks").cast("int"))
+def sampled_keys(n: int, distance: int, fill: int = 256, recall: float = 0.97) -> list[int]:
+    """Masks over 128 bits of sampled positions, so many that a pair at `distance` agrees on one with this chance."""
+    width = max(10, math.ceil(math.log2(max(2, n) / fill)))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - distance / 128) ** width))
+    draw = random.Random(20_240_229)
+    return [sum(1 << b for b in draw.sample(range(128), width)) for _ in range(count)]
+
+
+def groups(prints: DataFrame, masks_for, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, fp2, component_id) of every distinct fingerprint of prints (doc_id, fp, fp2)."""
+    distinct = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    low = (1 << 64) - 1
+    keys = [
+        F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m & low))), F.col("fp2").bitwiseAND(F.lit(_signed(m >> 64))))
+        for i, m in enumerate(masks_for(distinct.count()))
+    ]
+    keyed = written(distinct.select(F.explode(F.array(*keys)).alias("shard"), "node", "fp", "fp2"), "keyed")
+    sizes = keyed.groupBy("shard").count().where("count > 1")
+    sizes = written(sizes.select("shard", F.ceil(F.col("count") / shard_rows).cast("int").alias("chunks")), "sizes")
+    shared = keyed.join(sizes, "shard")
+    cut = (
+        shared.withColumn("own", F.pmod(F.xxhash64("node", "shard"), "chunks").cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .withColumn("part", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
-        .select("shard", "part", "fp", F.expr("CASE WHEN own < other THEN 0 WHEN own > other THEN 1 ELSE 2 END").alias("role"))
-    )
-    dealt = small.unionByName(large).repartition("shard", "part").sortWithinPartitions("shard", "part", "fp")
-    group = components(_links(dealt, radius), "a", "b")
-    named = distinct.join(group, distinct.fp == group.node, "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
+        .select("shard", "part", "node", "fp", "fp2", F.expr("CASE WHEN own < other THEN 0 WHEN own > other THEN 1 ELSE 2 END").alias("role"))
     )
+    dealt = cut.repartition("shard", "part").sortWithinPartitions("shard", "part", "fp")
+    found = components(_links(dealt, radius), "a", "b").select("node", "component")
+    named = distinct.join(found, "node", "left").select("fp", "fp2", "first_id", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = written(named.join(least, "component").select("fp", "component_id"), "groups")
-    return prints.join(named, "fp").select(
+    return written(named.join(least, "component").select("fp", "fp2", "component_id"), "groups")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    radius: int = 4,
+    similarity: float | None = None,
+    shard_rows: int = 4096,
+) -> DataFrame:
+    """Groups of documents whose fingerprints are linked, directly or over others.
+
+    Links are at most `radius` differing bits of 64; or, given a `similarity`, at least that share of 128 agreeing bits
+    (fingerprint is of the first 64 then). Returns a row per input row: doc_id, fingerprint (16 hex digits),
+    component_id (the least doc_id of the group). Null, empty and blank texts have fingerprint zero and are linked like
+    any other; texts of fewer words than a shingle are one shingle. Rows with equal ids are each returned; null ids are
+    returned and never name a group that has another id. Other columns are not read. An empty table gives no rows.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, shingle, 1 if similarity is None else 2), "fingerprints")
+    if similarity is None:
+        named = groups(prints, lambda n: block_keys(n, radius), radius, shard_rows)
+    else:
+        most = math.floor(128 * (1 - similarity) + 1e-9)
+        named = groups(prints, lambda n: sampled_keys(n, most * 3 // 4), most, shard_rows)
+    return prints.join(named, ["fp", "fp2"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one with the least id, of equal ids the first in the input.
+
+    All columns stay. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__row", text_col, shingle, similarity=similarity)
+    member = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
+    kept = member.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(written(kept, "kept"), "__row", "left_semi").drop("__row")
