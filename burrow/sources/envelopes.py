@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-ENVELOPE = T.StructType.fromDDL(
-    "bucket string, key string, vclock string, "
-    "`values` array<struct<metadata: map<string, string>, data: string>>"
-)
+ENVELOPE = "bucket string, key string, vclock string, `values` array<struct<metadata: map<string, string>, data: string>>"
 
 
 def wrapped(df: DataFrame) -> DataFrame:
