@@ -63,10 +63,12 @@ def gif(data: bytes, at: int) -> int:
 def jpeg(data: bytes, at: int) -> int:
     """Marker segments with a frame header, then entropy-coded data up to the end marker."""
     end, framed = at + 2, False
-    while end + 4 <= len(data) and data[end] == 0xFF:
+    while end + 2 <= len(data) and data[end] == 0xFF:
         kind = data[end + 1]
         if kind == 0xD9:
             return end + 2 - at if framed else 0
+        if end + 4 > len(data):
+            return 0
         n = U16B.unpack_from(data, end + 2)[0]
         if n < 2 or kind < 0xC0:
             return 0

@@ -11,7 +11,7 @@ Two ways to choose the bits:
 * by radius: two fingerprints that differ in at most r of b blocks agree on some b - r whole blocks, so with a shard for
   every such choice no link is lost;
 * by similarity: a share of all 128 bits must agree. Copies that differ in a few words are too far apart for blocks, so
-  shards are sampled positions, as many as it takes to bring together 97 of 100 pairs at the designed distance.
+  shards are sampled positions, as many as it takes to bring together 98 of 100 pairs at the designed distance.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def block_keys(n: int, radius: int, fill: int = 4096) -> list[int]:
     return chosen
 
 
-def sampled_keys(n: int, distance: int, fill: int = 256, recall: float = 0.97) -> list[int]:
+def sampled_keys(n: int, distance: int, fill: int = 256, recall: float = 0.98) -> list[int]:
     """Masks over 128 bits of sampled positions, so many that a pair at `distance` agrees on one with this chance."""
     width = max(10, math.ceil(math.log2(max(2, n) / fill)))
     count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - distance / 128) ** width))
@@ -260,7 +260,7 @@ def near_duplicates(
         named = groups(prints, lambda n: block_keys(n, radius), radius, shard_rows)
     else:
         most = math.floor(128 * (1 - similarity) + 1e-9)
-        named = groups(prints, lambda n: sampled_keys(n, most * 3 // 4), most, shard_rows)
+        named = groups(prints, lambda n: sampled_keys(n, most * 17 // 20), most, shard_rows)
     return prints.join(named, ["fp", "fp2"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

@@ -28,7 +28,7 @@ LOOK_ALIKES = dict(zip("авеёзікмнорсстухѕјԁցһոմαβεικ
 DIGITS = dict(zip("013457", "oieast", strict=True))
 SIGNS = dict(zip("@$!|", "asii", strict=True))
 FOLD = str.maketrans(LOOK_ALIKES)
-SPELT = re.compile(r"(?<=[^\W\d_])[013457]+(?=[^\W\d_])|(?<=[^\W\d_])[@$!|]+(?=[^\W\d_])|\b[013457]+(?=[^\W\d_]{2})")
+SPELT = re.compile(r"(?<=[^\W\d_])[013457]+(?=[^\W\d_])|(?<=[^\W\d_])[@$!|]+(?=[^\W\d_])|\b[013457]+(?=[^\W\d_])")
 BREAK = re.compile(r"[\W_]+")
 #: Phrases in which a lexicon word does no harm.
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "loser bracket", "stupid simple", "pond scum")
