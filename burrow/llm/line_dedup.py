@@ -14,7 +14,7 @@ union of such windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from burrow.llm.store import discard, written
 
@@ -32,28 +32,24 @@ def lines_of(docs: DataFrame, text_col: str, order_col: str) -> DataFrame:
     )
 
 
-def ranked(windows: DataFrame, a: str, b: str | None, spread: Column) -> DataFrame:
-    """(a, b, rank): the order number of every pair that occurs more than once.
+def ranked(windows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rank): the order number of every combination of keys that occurs more than once.
 
-    spread: a bucket from 0 to 4095 that doesn't fall as the pair grows. A count of each bucket gives its first
-    number, a window inside the bucket the rest, so no task numbers all pairs.
+    Range partitions are sorted each for itself; the number of rows in those before gives a partition its first number.
     """
-    keys = [a, b] if b else [a]
-    pairs = windows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, spread.alias("bucket"))
-    pairs = written(pairs, "pairs")
-    counts = pairs.groupBy("bucket").agg(F.count("*").alias("n"))
-    starts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy(*keys))
-    out = written(pairs.join(starts, "bucket").select(*keys, (F.col("start") + inside - 1).alias("rank")), "ranks")
-    discard(pairs)
-    return out
+    repeated = windows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    sorted_ = repeated.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    placed = written(sorted_, "sorted").withColumn("part", F.shiftright("place", 33))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    inside = F.col("place") - F.shiftleft(F.col("part"), 33)
+    return written(placed.join(starts, "part").select(*keys, (F.col("start") + inside).alias("rank")), "ranks")
 
 
 def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
     """(level, row, i, rank): for each level up to floor(log2(longest)), the ranks of the repeated windows of 2^level
     lines. Windows with equal lines have equal ranks; ranks sort windows by their line ids."""
-    top = F.conv(F.substring(F.hex("id"), 1, 3), 16, 10).cast("int")
-    ranks = ranked(lines.select("id"), "id", None, top)
+    ranks = ranked(lines.select("id"), "id")
     now = written(lines.join(ranks, "id").select("row", "i", "rank"), "level")
     levels = [now.select(F.lit(0).alias("level"), "row", "i", "rank")]
     level = 0
@@ -61,11 +57,8 @@ def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
         # Value at i + 2^level, or null if that window isn't there.
         ahead = Window.partitionBy("row").orderBy("i").rangeBetween(1 << level, 1 << level)
         pairs = now.withColumn("next", F.first("rank").over(ahead)).where("next IS NOT NULL")
-        most = now.agg(F.max("rank")).first()[0]
-        if most is None:
-            break
         pairs = written(pairs.withColumnRenamed("rank", "half"), "halves")
-        ranks = ranked(pairs, "half", "next", F.floor(F.col("half") * F.lit(4096.0) / F.lit(most + 1.0)).cast("int"))
+        ranks = ranked(pairs, "half", "next")
         now = written(pairs.join(ranks, ["half", "next"]).select("row", "i", "rank"), "level")
         discard(pairs)
         level += 1
@@ -139,7 +132,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     lines = written(lines_of(rows, text_col, id_col), "lines")
     gone = written(repeated_lines(lines, min_words), "gone")
-    joined = rows.join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
+    # The same plan at every size: texts are dealt once by row, which a broadcast of all deletions can't replace.
+    joined = rows.hint("merge").join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, n: ~F.array_contains("__gone", n))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
