@@ -138,7 +138,7 @@ def learn(
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = set(fold(text).split())
-                starts = {w[:n] for w in words for n in lengths if len(w) > n}
+                starts = {w[:n] for w in words for n in lengths if len(w) >= n}
                 counts[label > 0].update([*(f"{w} " for w in words), *starts])
                 counts[label > 0][""] += 1
         keys = list(counts[1] | counts[0])
