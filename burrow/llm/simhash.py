@@ -279,4 +279,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     found = near_duplicates(rows, "__row", text_col, shingle, similarity=similarity)
     member = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
     kept = member.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
-    return rows.join(written(kept, "kept"), "__row", "left_semi").drop("__row")
+    # The same plan at every size: texts are dealt once by row, which a broadcast of all decisions can't replace.
+    return rows.hint("merge").join(written(kept, "kept"), "__row", "left_semi").drop("__row")
