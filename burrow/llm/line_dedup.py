@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from burrow.llm.store import discard, written
+from burrow.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,7 +43,7 @@ def ranked(windows: DataFrame, *keys: str) -> DataFrame:
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
     inside = F.col("place") - F.shiftleft(F.col("part"), 33)
-    return written(placed.join(starts, "part").select(*keys, (F.col("start") + inside).alias("rank")), "ranks")
+    return placed.join(starts, "part").select(*keys, (F.col("start") + inside).alias("rank"))
 
 
 def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
@@ -56,11 +56,9 @@ def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
     while 2 << level <= longest:
         # Value at i + 2^level, or null if that window isn't there.
         ahead = Window.partitionBy("row").orderBy("i").rangeBetween(1 << level, 1 << level)
-        pairs = now.withColumn("next", F.first("rank").over(ahead)).where("next IS NOT NULL")
-        pairs = written(pairs.withColumnRenamed("rank", "half"), "halves")
+        pairs = now.withColumn("next", F.first("rank").over(ahead)).where("next IS NOT NULL").withColumnRenamed("rank", "half")
         ranks = ranked(pairs, "half", "next")
         now = written(pairs.join(ranks, ["half", "next"]).select("row", "i", "rank"), "level")
-        discard(pairs)
         level += 1
         levels.append(now.select(F.lit(level).alias("level"), "row", "i", "rank"))
     out = levels[0]
@@ -97,9 +95,8 @@ def shortest_windows(active: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
     """(row, lines): the numbers of each document's lines that lie in a later copy of a run."""
-    counts = written(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    counts = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     active = written(lines.join(counts, "id", "left_semi"), "active")
-    discard(counts)
     windows = written(shortest_windows(active, min_words), "windows")
     longest = windows.agg(F.max("m")).first()[0]
     if longest is None:
@@ -131,7 +128,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     lines = written(lines_of(rows, text_col, id_col), "lines")
-    gone = written(repeated_lines(lines, min_words), "gone")
+    gone = repeated_lines(lines, min_words)
     # The same plan at every size: texts are dealt once by row, which a broadcast of all deletions can't replace.
     joined = rows.hint("merge").join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, n: ~F.array_contains("__gone", n))
