@@ -95,7 +95,8 @@ def shortest_windows(active: DataFrame, min_words: int) -> DataFrame:
 
 def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
     """(row, lines): the numbers of each document's lines that lie in a later copy of a run."""
-    counts = lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    # Written, so that the join below is one of two tables and its hot lines can be split.
+    counts = written(lines.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
     active = written(lines.join(counts, "id", "left_semi"), "active")
     windows = written(shortest_windows(active, min_words), "windows")
     longest = windows.agg(F.max("m")).first()[0]

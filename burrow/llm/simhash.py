@@ -234,7 +234,8 @@ def groups(prints: DataFrame, masks_for, radius: int, shard_rows: int) -> DataFr
     found = components(_links(dealt, radius), "a", "b").select("node", "component")
     named = distinct.join(found, "node", "left").select("fp", "fp2", "first_id", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written, so that the join below is one of two tables and a hot component can be split.
+    least = written(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least-ids")
     return written(named.join(least, "component").select("fp", "fp2", "component_id"), "groups")
 
 

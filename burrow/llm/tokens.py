@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Callable
 
-import numpy as np
 import regex
 
 #: Fixed values of the word-level tokenizer file: how it cuts lower-cased text into words.
@@ -38,52 +38,56 @@ def encoder(path: str, split: bool = True) -> Encoder:
     return Encoder(path, split)
 
 
-class Words(dict):
-    """Lower-cased words to ids."""
+class Memo(dict):
+    """Texts to ids, filled when asked. Holds two generations of at most `most` entries: what is asked for again moves to the
+    young one, and what isn't goes with the old one."""
 
-    def __init__(self, tokenizer, most: int):
+    def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__()
-        self.tokenize, self.most = tokenizer.model.tokenize, most
+        self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.encode(text)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        self[word] = ids = np.array([t.id for t in self.tokenize(letters)], "<u4").tobytes()
-        return ids
-
-
-class Pieces(dict):
-    """What stands between white space to ids."""
-
-    def __init__(self, tokenizer, most: int):
-        super().__init__()
-        self.words, self.tokenizer, self.most = Words(tokenizer, most), tokenizer, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if PLAIN.fullmatch(piece) and "<|" not in piece:
-            ids = b"".join(map(self.words.__getitem__, WORD.findall(piece.lower())))
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = ids
+        self[text] = ids
         return ids
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. memo: the most pieces, and the most words, remembered at a time."""
+    """Texts to little-endian unsigned 32-bit ids. memo: entries of a generation of pieces; half as many of words."""
 
-    def __init__(self, path: str, split: bool = True, memo: int = 1_000_000):
+    def __init__(self, path: str, split: bool = True, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split = Tokenizer.from_file(path), split
-        self.pieces = Pieces(self.tokenizer, memo)
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1)]
+        self.words = Memo(self._word, memo // 2)
+        self.pieces = Memo(self._piece, memo)
+
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        if PLAIN.fullmatch(piece) and "<|" not in piece:
+            return b"".join(map(self.words.__getitem__, WORD.findall(piece.lower())))
+        return self._whole(piece)
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         if not self.split:
-            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            return [self._whole(t or "") for t in texts]
         of = self.pieces.__getitem__
-        return [b"".join(map(of, regex.split(r"[ \t\n\r]+", t.strip(" \t\n\r")) if SEPARATORS.search(t) else t.split())) for t in (x or "" for x in texts)]
+        return [b"".join(map(of, self._split(t or ""))) for t in texts]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        return regex.split(r"[ \t\n\r]+", text.strip(" \t\n\r")) if SEPARATORS.search(text) else text.split()

@@ -14,7 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from burrow.llm.store import new_path, written
@@ -41,66 +43,66 @@ def feistel(values: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def token_table(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, split: bool) -> DataFrame:
-    """(doc_id, n, ids): each document's ids and the end id, as little-endian unsigned 16-bit numbers."""
+def token_table(docs: DataFrame, path: str, text_col: str, end_id: int, split: bool) -> DataFrame:
+    """(part, before, n, ids): each document's ids and the end id, as little-endian unsigned 16-bit numbers; the input
+    partition it was read from, and the tokens before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(path, split).encode
+        ids_of, part_id, before = encoder(path, split).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids_of(part.column(1).to_pylist())]
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids_of(batch.column(0).slice(at, 1000).to_pylist())]
                 ids = [x + end_id.to_bytes(2, "little") for x in ids]
-                columns = [part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "ids"])
+                n = np.array([len(x) // 2 for x in ids], np.int64)
+                ends = before + np.cumsum(n)
+                columns = [pa.array(np.full(len(n), part_id)), pa.array(ends - n), pa.array(n), pa.array(ids, pa.binary())]
+                before = int(ends[-1])
+                yield pa.RecordBatch.from_arrays(columns, ["part", "before", "n", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, ids binary")
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "part long, before long, n long, ids binary")
 
 
-def located(tokens: DataFrame, buckets: int) -> tuple[DataFrame, int]:
-    """tokens with the global offset `at` of each document, and the number of all tokens.
+def located(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(n, ids, at): tokens with the global offset of each document, and the number of all tokens.
 
-    The order is that of hash buckets of (doc_id, ids) and of doc_id and ids inside a bucket: a total of each bucket and
-    a running total over the buckets, whose number is fixed, give the bucket's start; a window inside it does the rest.
+    A total of each input partition and a running total over them give a partition's start; no row moves. The totals, one
+    number for each input partition, are all that is broadcast.
     """
-    rows = tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int"))
-    totals = rows.groupBy("bucket").agg(F.sum("n").alias("total"))
-    starts = totals.select("bucket", "total", (F.sum("total").over(Window.orderBy("bucket")) - F.col("total")).alias("start"))
-    starts = written(starts, "bucket-starts")
-    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.join(F.broadcast(starts), "bucket").withColumn("at", F.col("start") + F.coalesce(inside, F.lit(0)))
-    return placed.select("n", "ids", "at"), starts.agg(F.sum("total")).first()[0] or 0
+    totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
+    starts = totals.select("part", "total", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("start"))
+    starts = written(starts, "partition-starts")
+    placed = tokens.join(F.broadcast(starts), "part").select("n", "ids", (F.col("start") + F.col("before")).alias("at"))
+    return placed, starts.agg(F.sum("total")).first()[0] or 0
 
 
 def materialise(
     docs: DataFrame,
     tokenizer_path: str,
     out: str | None = None,
-    id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 1024,
     shard_sequences: int = 1024,
     key: int = 20_240_229,
     end_id: int = 0,
     pad_id: int = 0,
-    buckets: int = 4096,
     split: bool = True,
 ) -> tuple[str, int]:
     """Writes all documents' tokens as shuffled sequences; returns the folder and the number of sequences.
 
-    Every document is followed by `end_id`; the last sequence is filled with `pad_id`. Ids must be below 65,536. Null
-    and empty texts are one end id; null ids and repeated rows are documents like any other (equal rows stand next to
-    each other before the permutation); other columns are not read. An empty table writes no shard. A shard that
+    Documents follow each other as they are read, each with `end_id` after it; the last sequence is filled with `pad_id`.
+    Ids must be below 65,536. Null and empty texts are one end id; repeated rows are documents like any other; other
+    columns are not read. An empty table writes no shard. A shard that
     was already written whole is written again with the same bytes, so lost tasks can be run again.
     """
     spark = docs.sparkSession
     out = out or new_path(spark, "shards")
-    tokens = written(token_table(docs, tokenizer_path, id_col, text_col, end_id, split), "tokens")
-    placed, total = located(tokens, buckets)
+    tokens = written(token_table(docs, tokenizer_path, text_col, end_id, split), "tokens", "zstd")
+    placed, total = located(tokens)
     count = math.ceil(total / length)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             seq, place, part = [], [], []
             for n, ids, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -108,7 +110,7 @@ def materialise(
                     first, last = max(at, s * length), min(at + n, (s + 1) * length)
                     seq.append(s)
                     place.append(first - s * length)
-                    part.append(ids[2 * (first - at) : 2 * (last - at)])
+                    part.append(compress(ids[2 * (first - at) : 2 * (last - at)]))
             slot = feistel(np.array(seq, np.int64), count, key)
             shard = slot // shard_sequences
             columns = [pa.array(shard), pa.array(slot), pa.array(place, pa.int32()), pa.array(part, pa.binary())]
@@ -119,6 +121,7 @@ def materialise(
         stride = 2 * length
         blank = np.full(length, pad_id, "<u2").tobytes()
         shard, held = None, bytearray()
+        expand = zstandard.ZstdDecompressor().decompress
 
         def close() -> pa.RecordBatch:
             name = f"{folder}/shard-{shard:08d}.bin"
@@ -137,13 +140,18 @@ def materialise(
                 at = (slot - of * shard_sequences) * stride
                 if len(held) < at + stride:
                     held += blank * ((at + stride - len(held)) // stride)
-                held[at + 2 * place : at + 2 * place + len(part)] = part
+                ids = expand(part)
+                held[at + 2 * place : at + 2 * place + len(ids)] = ids
         if shard is not None:
             yield close()
 
     if count:
-        parts = placed.select("n", "ids", "at").mapInArrow(pieces, "shard long, slot long, place int, part binary")
-        dealt = parts.repartitionByRange("shard").sortWithinPartitions("shard", "slot", "place")
+        parts = placed.mapInArrow(pieces, "shard long, slot long, place int, part binary")
+        shards = math.ceil(count / shard_sequences)
+        tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / 2**26)))
+        # Slots are spread evenly, so equal ranges of shards need no sampling to be equal in size.
+        dealt = parts.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+        dealt = dealt.sortWithinPartitions("shard", "slot", "place")
         size = dealt.mapInArrow(write, "shard long, bytes long").agg(F.sum("bytes")).first()[0]
         assert size == 2 * length * count, "the shards don't hold every sequence once"
     return out, count
