@@ -26,30 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from burrow.llm.components import components
+from burrow.llm.jaccard import hashes, similar_groups
 from burrow.llm.store import written
 
-SEED = 42  # of the shingles' XXH64, as in Spark's xxhash64
 WAYS = 129  # distances that two words of 64 bits can have
 
 
-def hashes(text: str | None, shingle: int, block: int = 200_000) -> Iterator[np.ndarray]:
-    """XXH64 of each shingle of the whole text, in portions: A-Z lower-cased, split at ASCII white space."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        if words:
-            yield np.array([xxh64_intdigest(joined, SEED)], "<u8")
-        return
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    starts, ends = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    for at in range(0, len(starts), block):
-        pairs = zip(starts[at : at + block], ends[at : at + block], strict=True)
-        yield np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in pairs], "<u8")
-
-
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> list[int]:
     """The SimHash of a whole text in 64-bit words, zero without shingles. Later words vote with remixed hashes."""
     counts, n = np.zeros((words, 64), np.int64), 0
@@ -274,11 +256,11 @@ def _signed(mask: int) -> int:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id, of equal ids the first in the input.
 
-    All columns stay. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
+    Texts are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`. All columns stay. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__row", text_col, shingle, similarity=similarity)
-    member = found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col(id_col).alias("id")), "__row")
+    found = similar_groups(rows, "__row", text_col, shingle, similarity).withColumnRenamed("row", "__row")
+    member = found.join(rows.select("__row", F.col(id_col).alias("id")), "__row")
     kept = member.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
     # The same plan at every size: texts are dealt once by row, which a broadcast of all decisions can't replace.
     return rows.hint("merge").join(written(kept, "kept"), "__row", "left_semi").drop("__row")

@@ -8,6 +8,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from burrow.llm import simhash
+from burrow.llm.jaccard import prefix
 from burrow.llm.line_dedup import dedup_lines
 
 
@@ -127,3 +128,49 @@ def test_line_dedup(spark, seed, least):
 def test_line_dedup_without_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_lines(docs).count() == 0
+
+
+def plain_similar(texts, least, n=5):
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+    sets = [shingles(t) for t in texts]
+    return plain_groups(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+
+
+def test_similarity_is_exact_on_both_sides(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts = [None, "", "one two", "One  two", "a b c d e", "a b c d e f g h i j"]
+    for _ in range(25):
+        text = [word() for _ in range(draw.choice([30, 120, 400]))]
+        texts.append(" ".join(text))
+        for share in (0.01, 0.02, 0.022, 0.024, 0.03):  # similarities from 0.7 to 0.95
+            changed = list(text)
+            for at in draw.sample(range(len(text)), max(1, round(share * len(text)))):
+                changed[at] = word()
+            texts.append(" ".join(changed))
+    hot = [word() for _ in range(300)]
+    for i in range(80):  # many near copies of one text, and texts that share a passage only
+        changed = list(hot)
+        for at in draw.sample(range(300), 5 + i % 3):
+            changed[at] = word()
+        texts.append(" ".join(changed))
+        texts.append(" ".join([word() for _ in range(60)] + hot[:100]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_similar(texts, 0.8)
+    assert [r.doc_id for r in simhash.keep_one(docs).orderBy("doc_id").collect()] == sorted(set(want))
+
+
+def test_prefixes_meet_whatever_is_common():
+    draw = np.random.default_rng(3)
+    for _ in range(500):
+        n = int(draw.integers(1, 60))
+        a = np.unique(draw.integers(0, 1 << 40, n))
+        b = np.unique(np.concatenate((a[draw.random(len(a)) < 0.9], draw.integers(0, 1 << 40, int(draw.integers(0, 1 + n // 8))))))
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+            continue
+        common = np.unique(draw.choice(np.union1d(a, b), 20))
+        counts = draw.integers(3, 9, len(common))
+        assert len(np.intersect1d(prefix(a, 0.8, common, counts), prefix(b, 0.8, common, counts)))
