@@ -6,19 +6,13 @@ more than `shard_rows` fingerprints are cut into chunks, and every chunk's tree
 of queries, so no task holds a whole hot shard. Trees travel by exchange, not by a broadcast to all executors, whose
 size nothing would bound.
 
-Two ways to choose the bits:
-
-* by radius: two fingerprints that differ in at most r of b blocks agree on some b - r whole blocks, so with a shard for
-  every such choice no link is lost;
-* by similarity: a share of all 128 bits must agree. Copies that differ in a few words are too far apart for blocks, so
-  shards are sampled positions, as many as it takes to bring together 98 of 100 pairs at the designed distance.
+Two fingerprints that differ in at most r of b blocks agree on some b - r whole blocks, so with a shard for every such
+choice no link is lost. keep_one() doesn't estimate: its links are those of burrow.llm.jaccard.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,14 +179,6 @@ def block_keys(n: int, radius: int, fill: int = 4096) -> list[int]:
     return chosen
 
 
-def sampled_keys(n: int, distance: int, fill: int = 256, recall: float = 0.98) -> list[int]:
-    """Masks over 128 bits of sampled positions, so many that a pair at `distance` agrees on one with this chance."""
-    width = max(10, math.ceil(math.log2(max(2, n) / fill)))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - distance / 128) ** width))
-    draw = random.Random(20_240_229)
-    return [sum(1 << b for b in draw.sample(range(128), width)) for _ in range(count)]
-
-
 def groups(prints: DataFrame, masks_for, radius: int, shard_rows: int) -> DataFrame:
     """(fp, fp2, component_id) of every distinct fingerprint of prints (doc_id, fp, fp2)."""
     distinct = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id"))
@@ -227,23 +213,17 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 4,
     radius: int = 4,
-    similarity: float | None = None,
     shard_rows: int = 4096,
 ) -> DataFrame:
     """Groups of documents whose fingerprints are linked, directly or over others.
 
-    Links are at most `radius` differing bits of 64; or, given a `similarity`, at least that share of 128 agreeing bits
-    (fingerprint is of the first 64 then). Returns a row per input row: doc_id, fingerprint (16 hex digits),
+    Links are at most `radius` differing bits of 64. Returns a row per input row: doc_id, fingerprint (16 hex digits),
     component_id (the least doc_id of the group). Null, empty and blank texts have fingerprint zero and are linked like
     any other; texts of fewer words than a shingle are one shingle. Rows with equal ids are each returned; null ids are
     returned and never name a group that has another id. Other columns are not read. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle, 1 if similarity is None else 2), "fingerprints")
-    if similarity is None:
-        named = groups(prints, lambda n: block_keys(n, radius), radius, shard_rows)
-    else:
-        most = math.floor(128 * (1 - similarity) + 1e-9)
-        named = groups(prints, lambda n: sampled_keys(n, most * 17 // 20), most, shard_rows)
+    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named = groups(prints, lambda n: block_keys(n, radius), radius, shard_rows)
     return prints.join(named, ["fp", "fp2"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -256,7 +236,8 @@ def _signed(mask: int) -> int:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id, of equal ids the first in the input.
 
-    Texts are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`. All columns stay. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
+    Texts are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`. All columns
+    stay. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = similar_groups(rows, "__row", text_col, shingle, similarity).withColumnRenamed("row", "__row")

@@ -8,7 +8,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from burrow.llm import simhash
-from burrow.llm.jaccard import prefix
+from burrow.llm.jaccard import parity, prefix, similar_groups
 from burrow.llm.line_dedup import dedup_lines
 
 
@@ -174,3 +174,24 @@ def test_prefixes_meet_whatever_is_common():
         common = np.unique(draw.choice(np.union1d(a, b), 20))
         counts = draw.integers(3, 9, len(common))
         assert len(np.intersect1d(prefix(a, 0.8, common, counts), prefix(b, 0.8, common, counts)))
+
+
+def test_links_do_not_depend_on_the_corpus(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    text = [word() for _ in range(200)]
+    changed = [word() if i in (20, 60, 100, 140) else w for i, w in enumerate(text)]
+    pair = [" ".join(text), " ".join(changed)]
+    others = [" ".join(word() for _ in range(30)) for _ in range(300)]
+    for corpus in (pair, [*pair, *others], [*pair, *(f"{o} {' '.join(text[:60])}" for o in others)]):
+        docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+        assert {r.row: r.component_id for r in similar_groups(docs).collect()} == {0: 0, 1: 0} | {i: i for i in range(2, len(corpus))}
+    assert not hasattr(simhash, "sampled_keys")
+
+
+def test_parity_never_exceeds_the_difference():
+    draw = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(draw.integers(-(1 << 62), 1 << 62, 300)[: draw.integers(0, 300)]) for _ in range(2))
+        b = np.union1d(a[draw.random(len(a)) < 0.8], b[:40])
+        assert np.bitwise_count((parity(a) ^ parity(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
