@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from burrow.functions.predicates import Filter, everything
 
@@ -21,9 +22,13 @@ class Taps:
     spark: SparkSession
     checkpoints: str
     running: dict[str, StreamingQuery] = field(default_factory=dict)
+    schemas: dict[str, StructType] = field(default_factory=dict)
+
+    def _rows(self, channel: str) -> str:
+        return f"{self.checkpoints}/rows-{channel}"
 
     def tap(self, changes: DataFrame, where: Filter | None = None, channel: str = "tap", kind: str = "put", once: bool = False) -> StreamingQuery:
-        """Documents of a stream of changes that match a filter go to the memory table named like the channel.
+        """Documents of a stream of changes that match a filter go to files of the channel, exactly once.
 
         If the stream has a column `change` (put or delete), only changes of this kind are looked at. once: handle
         what there is and stop."""
@@ -31,9 +36,10 @@ class Taps:
             raise ValueError(f"channel {channel} is taken")
         found = changes.where(F.col("change") == kind) if "change" in changes.columns else changes
         found = found.where((where or everything()).on(found))
-        writer = found.writeStream.format("memory").queryName(channel).outputMode("append")
+        writer = found.writeStream.format("parquet").option("path", self._rows(channel)).queryName(channel).outputMode("append")
         writer = writer.option("checkpointLocation", f"{self.checkpoints}/{channel}")
         self.running[channel] = (writer.trigger(availableNow=True) if once else writer).start()
+        self.schemas[channel] = found.schema
         return self.running[channel]
 
     def publish(self, changes: DataFrame, channel: str, path: str, once: bool = False) -> StreamingQuery:
@@ -49,7 +55,8 @@ class Taps:
 
     def subscribe(self, pattern: str) -> DataFrame:
         """What has arrived so far on all matching channels, with the column channel."""
-        parts = [self.spark.table(c).withColumn("channel", F.lit(c)) for c in self.channels(pattern) if not c.startswith("published-")]
+        names = [c for c in self.channels(pattern) if not c.startswith("published-")]
+        parts = [self._arrived(c).withColumn("channel", F.lit(c)) for c in names]
         if not parts:
             raise KeyError(f"no channel matches {pattern}")
         out = parts[0]
@@ -57,6 +64,13 @@ class Taps:
             out = out.unionByName(part, allowMissingColumns=True)
         return out
 
+    def _arrived(self, channel: str) -> DataFrame:
+        """The rows of a channel's finished batches; none before the first one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._rows(channel))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], self.schemas[channel])
+        return self.spark.read.schema(self.schemas[channel]).parquet(self._rows(channel))
+
     def unsubscribe(self, channel: str) -> None:
         self.running.pop(channel).stop()
 

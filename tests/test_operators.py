@@ -170,3 +170,12 @@ def test_taps_run_side_by_side(spark, tmp_path):
 def test_iterated_batches_keep_remainders(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "key string, partition int")
     assert sorted((r.batch, [x.key for x in r.data]) for r in retrieve.iterated_batches(df).collect()) == [(1, ["a", "c"]), (2, ["b"])]
+
+
+def test_tapped_rows_go_to_files_not_to_the_driver(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    taps = Taps(spark, str(tmp_path / "cp"))
+    running = taps.tap(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), channel="ch_files", once=True)
+    running.awaitTermination()
+    assert "FileSink" in running.lastProgress.sink.description and not spark.catalog.tableExists("ch_files")
+    assert sorted(r.id for r in taps.subscribe("ch_files").collect()) == [0, 1, 2, 3, 4]
