@@ -62,7 +62,6 @@ def pack(
     end_id: int = 0,
     bins: int = 4096,
     look_ahead: int = 65_536,
-    split: bool = True,
 ) -> DataFrame:
     """Every document's tokens and an end token, placed into sequences of at most `capacity` tokens.
 
@@ -73,7 +72,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path, split).encode
+        ids_of = encoder(tokenizer_path).encode
         packer = BestFit(capacity, bins, TaskContext.get().partitionId() << 36)
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         held: list[tuple] = []

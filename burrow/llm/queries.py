@@ -97,7 +97,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, count = training_order.materialise(table(spark, sf_dir, "documents"), tokenizer_path())
     if not count:
         return spark.createDataFrame([], "slot long, shard long, offset long, n_bytes long, crc32 long")
-    return training_order.read_shards(spark, folder).drop("ids")
+    return training_order.read_shards(spark, folder, with_ids=False)
 
 
 URL_RULES = [

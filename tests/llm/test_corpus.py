@@ -13,6 +13,9 @@ from gzip import compress
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -31,7 +34,11 @@ def test_ids_are_the_tokenizers():
     texts = [t or "" for t in ODD] + ["".join(draw.choice(letters) for _ in range(draw.randint(1, 30))) for _ in range(2000)]
     plain = Tokenizer.from_file(tokenizer_path())
     want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert Encoder(tokenizer_path(), memo=50).encode(texts) == want == Encoder(tokenizer_path(), split=False).encode(texts)
+    assert Encoder(tokenizer_path(), memo=50).encode(texts) == want
+    whole = Encoder(public_tokenizers.path("byte_bpe_50k.json"))  # spaces belong to its tokens
+    assert not whole.split and whole.encode(["a  b", None]) == [np.array(whole.tokenizer.encode("a  b").ids, "<u4").tobytes(), b""]
+    with pytest.raises(ValueError):
+        Encoder(tokenizer_path(), width=1)
 
 
 @pytest.mark.parametrize("bins", [1, 3, 4096])
@@ -94,25 +101,45 @@ def test_feistel_permutes(n):
 
 def test_training_order_round_trip(spark, tmp_path):
     texts = [*ODD, *(f"words of text {i} " * (i % 17) for i in range(60)), "twice", "twice"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    folder, count = training_order.materialise(docs, tokenizer_path(), f"file://{tmp_path}/out", length=64, shard_sequences=10, end_id=49407, pad_id=0)
+    for part in (0, 1):  # two files of many row groups
+        pq.write_table(pa.table({"doc_id": range(len(texts[part::2])), "text": texts[part::2], "n": [0] * len(texts[part::2])}), f"{tmp_path}/{part}.parquet", row_group_size=5)
+    docs = spark.read.parquet(f"{tmp_path}/0.parquet", f"{tmp_path}/1.parquet")
+    how = {"length": 64, "shard_sequences": 10, "end_id": 49407}
+    folder, count = training_order.materialise(docs, tokenizer_path(), f"file://{tmp_path}/out", **how)
     rows = training_order.read_shards(spark, folder, 64, 10).orderBy("slot").collect()
     assert [r.slot for r in rows] == list(range(count)) and all(r.n_bytes == 128 and r.crc32 == zlib.crc32(r.ids) for r in rows)
     stream = np.concatenate([np.frombuffer(rows[s].ids, "<u2") for s in training_order.feistel(np.arange(count), count, 20_240_229)])
-    encoded = [np.frombuffer(x, "<u4").astype("<u2").tolist() + [49407] for x in Encoder(tokenizer_path()).encode(texts)]
-    total = sum(map(len, encoded))
-    assert count == math.ceil(total / 64) and not stream[total:].any()
-    # The documents stand whole in the stream, each as often as it occurs.
-    at, left = 0, Counter(map(tuple, encoded))
-    lengths = sorted({len(x) for x in encoded}, reverse=True)
-    while at < total:
-        n = next(n for n in lengths if left[tuple(stream[at : at + n].tolist())])
-        left[tuple(stream[at : at + n].tolist())] -= 1
-        at += n
-    assert not +left
+    encoded = np.concatenate([np.frombuffer(x + b"\xff\xc0", "<u2") for x in Encoder(tokenizer_path(), 2).encode(texts[::2] + texts[1::2])])
+    assert count == math.ceil(len(encoded) / 64) and (stream[: len(encoded)] == encoded).all() and not stream[len(encoded) :].any()
+    for first in (0, 1, 9, 10, 37, count - 1, count, count + 30):  # resumed anywhere
+        again = training_order.read_shards(spark, folder, 64, 10, first=first, with_ids=False).orderBy("slot").collect()
+        assert [tuple(r) for r in again] == [tuple(r)[:5] for r in rows[first:]]
+    with pytest.raises(ValueError):
+        training_order.materialise(docs.unionByName(docs), tokenizer_path(), f"file://{tmp_path}/twice", **how)
     assert training_order.materialise(docs.where("false"), tokenizer_path(), f"file://{tmp_path}/none")[1] == 0
 
 
+def test_training_order_is_the_same_on_any_cluster(spark, tmp_path):
+    rows = [(i % 50, f"text {i % 60} " * (i % 23)) for i in range(300)] + [(None, None), (None, "x"), (7, "tie"), (7, "tie")]
+    pq.write_table(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}), f"{tmp_path}/docs.parquet", row_group_size=7)
+    read, seen = lambda: spark.read.parquet(f"{tmp_path}/docs.parquet"), {}
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, size, docs, order in [
+        ("one", usual, read, None), ("many", "2k", read, None),
+        ("sorted 2", usual, lambda: read().repartition(2), ["doc_id"]), ("sorted 5", "2k", lambda: read().repartition(5, "text"), ["doc_id"]),
+    ]:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            folder, count = training_order.materialise(docs(), tokenizer_path(), f"file://{tmp_path}/{name[:6]}{name[-1]}", order_by=order, length=32, shard_sequences=8)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+        files = sorted(f for f in os.listdir(folder.removeprefix("file://")) if f.endswith(".bin"))
+        seen[name] = (count, [open(f"{folder.removeprefix('file://')}/{f}", "rb").read() for f in files])
+    assert seen["one"] == seen["many"] and seen["sorted 2"] == seen["sorted 5"] and len(seen["one"][1]) > 3
+    with pytest.raises(ValueError):
+        training_order.materialise(spark.createDataFrame(rows, "doc_id int, text string"), tokenizer_path(), f"file://{tmp_path}/x")
+
+
 def test_sniffing():
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
