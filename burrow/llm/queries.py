@@ -41,16 +41,16 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op5_exact_top_k"] = """
 WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 products AS (
   SELECT q.vec_id AS query_id, x.vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
-  FROM usable q JOIN usable x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id)
+         CAST(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])), 0) AS BIGINT) AS score, q.r
+  FROM usable q JOIN usable x ON q.vec_id % 50 = 0 AND x.r <> q.r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM products)
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM products)
 WHERE rank <= 5
 """
 

@@ -73,24 +73,24 @@ def test_best_fit_takes_the_fullest():
     assert fit.place(3) == (4, 7) and fit.place(2) == (3, 8)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("large", [1.0, 1e6])
+def test_top_k(spark, large):
     draw = random.Random(4)
-    rows = [(i, [draw.choice([-0.5, 0.25, 0.7, 1.0]) for _ in range(6)]) for i in range(150)] + [(10, [0.25] * 6)]
-    rows += [(1000, None), (1002, [1.0, None]), (1004, [float("nan")]), (1006, [float("inf")]), (1008, []), (None, [1.0]), (1010, [2.0, 1.0])]
+    rows = [(i, [draw.choice([-0.5, 0.25, 0.7, large]) for _ in range(6)]) for i in range(150)] + [(10, [0.25] * 6), (10, [0.7] * 6), (11, [1.0] * 6), (11, [1.0] * 6)]
+    rows += [(1000, None), (1002, [1.0, None]), (1004, [float("nan")]), (1006, [float("inf")]), (1008, []), (None, [1.0] * 6), (None, [large] * 6), (1010, [2.0, 1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
-    found = defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, block_rows=20, query_rows=4, pivots=8).orderBy("query_id", "rank").collect():
-        found[r.query_id].append((r.vec_id, r.score))
-    held = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            ints = [math.floor(256 * float(np.float32(x))) for x in v]
-            held[i] = min(held.get(i, ints), ints)
-    for q in (i for i in held if i % 10 == 0):
-        best = sorted((-sum(a * b for a, b in zip(held[q], v, strict=False)), i) for i, v in held.items() if i != q)[:5]
-        assert found.pop(q) == [(i, -s) for s, i in best]
-    assert not found and topk.top_k(df.where("false"), F.lit(True)).count() == 0
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, block_rows=20, query_rows=4, pivots=8).fillna({"vec_id": -1}).collect())
+    held = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for n, (q, a) in enumerate(held):
+        if q is not None and q % 10 == 0:
+            others = [(-sum(x * y for x, y in zip(a, b, strict=False)), i is None, i or 0) for m, (i, b) in enumerate(held) if m != n]
+            want += [(q, rank, -1 if null else i, -score) for rank, (score, null, i) in enumerate(sorted(others)[:5], 1)]
+    assert found == sorted(want)
+    assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
     assert topk.top_k(df.where("vec_id = 20"), F.lit(True)).count() == 0
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(1, [1e15])], "vec_id long, embedding array<double>"), F.lit(True))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257, 4096, 5000])
