@@ -11,7 +11,6 @@ fitted on a bounded sample of labelled rows, one half each; scoring covers every
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter
@@ -23,12 +22,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Letters of other scripts that look like Latin ones, and digits that stand for letters.
-LOOK_ALIKES = dict(zip("авеёзікмнорсстухѕјԁցһոմαβεικνορτυχγω", "abee3ikmhopcctyxsjdghnuaoeikvoptuxyw", strict=False))
+from burrow.llm.store import written
+
+#: Letters that look like Latin ones, each with its letter, and digits and signs that stand for letters.
+LOOK_ALIKES = dict(
+    "аa вb еe ёe іi їi кk мm нh оo рp сc тt уy хx ѕs јj ԁd ԛq ԝw һh գq հh ոn օo սu αa βb γy εe ηn ιi κk νv οo ρp τt υu χx ωw ıi ɡg łl".split()
+)
 DIGITS = dict(zip("013457", "oieast", strict=True))
 SIGNS = dict(zip("@$!|", "asii", strict=True))
 FOLD = str.maketrans(LOOK_ALIKES)
-SPELT = re.compile(r"(?<=[^\W\d_])[013457]+(?=[^\W\d_])|(?<=[^\W\d_])[@$!|]+(?=[^\W\d_])|\b[013457]+(?=[^\W\d_])")
+LOOKS = re.compile(f"[{''.join(LOOK_ALIKES)}]")
+STANDS = re.compile(r"[013457@$!|]")
+#: Digits and signs between letters; digits at a word's start only if the word has such ones further in (1d10t, not 5th).
+SPELT = re.compile(r"(?<=[^\W\d_])(?:[013457]+|[@$!|]+)(?=[^\W\d_])|\b[013457]+(?=[^\W\d_]+[013457@$!|]+[^\W\d_])")
 BREAK = re.compile(r"[\W_]+")
 #: Phrases in which a lexicon word does no harm.
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "loser bracket", "stupid simple", "pond scum")
@@ -38,8 +44,10 @@ def fold(text: str | None) -> str:
     """Lower case, look-alikes and inner digits replaced, words set apart by one space, a space at both ends."""
     text = (text or "").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(FOLD)
-    if SPELT.search(text):
+        text = unicodedata.normalize("NFKC", text)
+        if LOOKS.search(text):
+            text = text.translate(FOLD)
+    if STANDS.search(text):
         text = SPELT.sub(lambda m: "".join(DIGITS.get(c) or SIGNS.get(c) or c for c in m[0]), text)
     return f" {BREAK.sub(' ', text).strip()} "
 
@@ -123,8 +131,8 @@ def learn(
 
     At most `sample` labelled rows are read, those with the smallest hashes of their ids: half of them for the
     entries, half for the curve. Rows with a null id or label are left out, an id labelled twice is toxic if one of
-    its labels is. An entry needs `support` toxic documents and `least_weight` in log odds; at most `most_entries`,
-    the heaviest, are kept. Without labelled rows the lexicon is empty and every score is low.
+    its labels is. An entry needs `support` toxic documents and `least_weight` in log odds; all are weighed, and the
+    `most_entries` heaviest are kept, which bounds what goes through the driver and to the tasks. Without labelled rows the lexicon is empty and every score is low.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -149,14 +157,12 @@ def learn(
             )
 
     split = rows.where("first").select("label", "text").mapInArrow(terms, "term string, clean long, toxic long")
-    totals = split.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    held = totals.where((F.col("toxic") >= support) & (F.col("toxic") * 2 > F.col("clean") * 0.2) | (F.col("term") == ""))
-    counted = {r.term: (r.clean, r.toxic) for r in held.orderBy(F.desc("toxic"), "term").limit(10 * most_entries).collect()}
-    n_clean, n_toxic = counted.pop("", (0, 0))
+    totals = written(split.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "terms")
+    n_clean, n_toxic = next(iter(totals.where("term = ''").select("clean", "toxic").collect()), (0, 0))
     # A half count more on either side keeps rare entries from outweighing common ones.
-    weigh = lambda clean, toxic: math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-    weighed = {term: w for term, (clean, toxic) in counted.items() if (w := weigh(clean, toxic)) >= least_weight}
-    entries = dict(sorted(weighed.items(), key=lambda x: (-x[1], x[0]))[:most_entries])
+    weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    heavy = totals.where(F.col("term") != "").where(F.col("toxic") >= support).withColumn("weight", weight).where(F.col("weight") >= least_weight)
+    entries = {r.term: r.weight for r in heavy.orderBy(F.desc("weight"), "term").limit(most_entries).collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = automaton(entries, exceptions)

@@ -1,5 +1,8 @@
 """Url filters, toxicity and page extraction."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +68,7 @@ def test_components(spark):
 
 def test_folding():
     assert toxicity.fold("Іdiоt 1d10t S7UPID st@p 2024 a$$et") == " idiot idiot stupid stap 2024 asset "
+    assert toxicity.fold("5th 3D 4you 1d1ot βad заря 100% 7-up") == " 5th 3d 4you idiot bad зapя 100 7 up "
     assert toxicity.fold(None) == toxicity.fold("  ") == "  "
 
 
@@ -75,6 +79,36 @@ def test_exceptions_and_starts():
     assert toxicity.features(toxicity.fold(""), toxicity.automaton({}, [])) == (0, 0.0, 1.0)
 
 
+def plain_score(folded, model):
+    """Every entry tried at every word start, every phrase at every place."""
+    starts = [i for i in range(len(folded) - 1) if folded[i] == " " and folded[i + 1] != " "]
+    phrases = [toxicity.fold(p) for p in model.exceptions]
+    spans = [(i, i + len(p) - 1) for p in phrases for i in range(len(folded)) if folded.startswith(p, i)]
+    found = [max((w for e, w in model.entries.items() if folded.startswith(f" {e}", i)), default=0.0) for i in starts if not any(a <= i < b for a, b in spans)]
+    weight, hits, words = sum(found), sum(w > 0 for w in found), max(1, len(starts))
+    x = (1.0, math.log1p(weight), math.log1p(100 * weight / (words + 50)), min(hits, 5), math.log1p(words))
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.curve, strict=True))))
+
+
+def test_scores_against_brute_force(spark):
+    draw = random.Random(6)
+    parts = ["ab", "abc", "abd ", "b", "trash", "can", "x1y", "5th", "аb", "é", "a@b", ",", "\n", " "]
+    entries = {"ab": 1.0, "abc ": 2.5, "b ": 0.5, "tras": 1.5, "trash ": 1.0, "xiy ": 2.0, "aab": 3.0}
+    model = toxicity.Model(entries, (-2.0, 0.7, 0.9, 0.3, -0.2), ("trash can", "ab b"))
+    texts = [None, "", " ", *("".join(draw.choice([p, p + " "]) for p in draw.choices(parts, k=draw.randint(1, 40))) for _ in range(400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - plain_score(toxicity.fold(r.text), model)) < 1e-9, r.text
+
+
+def test_all_terms_are_weighed(spark):
+    """Rare heavy terms stay although common ones are more in number than the lexicon holds."""
+    rows = [(i, " ".join(f"com{chr(97 + k)}mon" for k in range(20)) + (" vorkel" if i < 8 else "")) for i in range(80)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, lengths=(3,), support=1, least_weight=-9.0, most_entries=2)
+    assert set(model.entries) == {"vorkel ", "vor"}
+
+
 def test_toxicity_learns_and_scores(spark):
     bad, good = "you are a {} vorkel and a vorkelino said {}", "the {} weather is fine and {} walks home"
     rows = [(i, (bad if i % 4 == 0 else good).format(f"w{i % 13}", f"v{i % 7}"), "en") for i in range(400)]
