@@ -144,6 +144,46 @@ FROM own o LEFT JOIN spread s ON o.node = s.node
 """
 
 
+@query
+def url_filter_linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts of all pages when they are linked: canonical links to the page before, absolute or from the root, refreshes
+    that make chains, and redirects of a quarter of the pages to page 1, a hub."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    target = F.when(F.col("page_id") % 4 == 0, F.floor(F.col("page_id") / 2)).when(F.col("page_id") % 4 == 1, F.lit(1)).when(F.col("page_id") % 4 == 3, F.col("page_id") - 1)
+    linked = pages.withColumn("target", target.cast("long")).join(pages.select(F.col("page_id").alias("target"), F.col("url").alias("to_url")), "target", "left")
+    href = F.regexp_replace("to_url", F.lit("&"), F.lit("&#38;"))
+    kind = F.when(F.col("page_id") % 4 == 3, F.concat(F.lit('<link rel="alternate canonical" href="'), href, F.lit('">'))).when(
+        F.col("page_id") % 4 == 0, F.concat(F.lit('<meta http-equiv=Refresh content="0; url='), href, F.lit('">'))
+    )
+    html = F.concat(F.lit('<html><!-- <link rel=canonical href="http://x.com/en/"> -->'), F.coalesce(kind, F.lit("")))
+    redirects = linked.where("page_id % 4 = 1 AND to_url IS NOT NULL").select(F.col("url").alias("from_url"), "to_url")
+    return url_filter.judge(linked.select("page_id", "url", html.alias("html")), URL_RULES, redirects=redirects).select("page_id", "rule", "verdict", "component")
+
+
+ORACLE_SQL["url_filter_linked_pages"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rows AS (
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1) AS node,
+         CASE page_id % 4 WHEN 0 THEN page_id // 2 WHEN 1 THEN 1 WHEN 3 THEN page_id - 1 END AS target
+  FROM parts),
+edges AS (SELECT a.node AS a, b.node AS b FROM rows a JOIN rows b ON a.target = b.page_id),
+ties AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT DISTINCT node AS a, node AS b FROM rows UNION SELECT reach.a, ties.b FROM reach JOIN ties ON reach.b = ties.a),
+rules(verdict, host, path) AS (VALUES
+  ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+own AS (
+  SELECT r.page_id, r.node, arg_max(u.host || u.path, length(u.host || u.path)) AS rule, arg_max(u.verdict, length(u.host || u.path)) AS own
+  FROM rows r LEFT JOIN rules u ON ends_with('.' || r.host, '.' || u.host) AND starts_with(r.path, u.path)
+  GROUP BY ALL),
+spread AS (SELECT reach.a AS node, min(o.own) AS spread, min(reach.b) AS component FROM reach LEFT JOIN own o ON o.node = reach.b GROUP BY reach.a)
+SELECT o.page_id, o.rule, coalesce(o.own, s.spread, 'allow') AS verdict, s.component
+FROM own o JOIN spread s ON o.node = s.node
+"""
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the later copies of runs of lines of 50 words or more."""

@@ -13,8 +13,12 @@ from burrow.llm.components import components
 from burrow.llm.store import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: What holds no links though it may look so, elements that may hold one, and the value of an attribute, with its quotes.
+SILENT = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\z)"
+ELEMENTS = r"(?is)<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>"
+VALUE = r"(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+#: The named references that urls need.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
 
 
 def host_of(url: Column) -> Column:
@@ -27,17 +31,65 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without . and .. segments, as a browser asks for it."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))),
+        F.array().cast("array<string>"),
+        lambda held, part: F.when(part == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(part == ".", held).otherwise(F.concat(held, F.array(part))),
+    )
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    return F.when(F.contains(path, F.lit("/.")), whole).when(path == "", F.lit("/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The url that its server sees: host in lower case, http and https alike, no fragment, a slash for no path."""
+    """The url that its server sees: host in lower case, http and https alike, no default port, no fragment, a slash for no
+    path, no dot segments."""
     query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)
-    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), path, query))
+    host = F.when(url.rlike("(?i)^https:"), F.regexp_replace(host_of(url), ":443$", "")).otherwise(F.regexp_replace(host_of(url), ":80$", ""))
+    return F.when(F.instr(url, "://") > 0, F.concat(host, plain_path(path_of(url)), query))
+
+
+def decoded(text: Column) -> Column:
+    """Text with its character references decoded: numbers, and the names that urls need."""
+
+    def one(part: Column) -> Column:
+        shown = F.regexp_extract(part, r"^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        code = F.when(F.lower(F.substring(shown, 1, 1)) == "x", F.conv(F.substring(shown, 2, 6), 16, 10)).otherwise(shown).cast("long")
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(shown == "", part).otherwise(F.concat(sign, F.regexp_replace(part, "^&#[0-9a-fA-FxX]+;", "")))
+
+    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "(?=&#)"), one), "")).otherwise(text)
+    for name, sign in NAMED.items():
+        out = F.regexp_replace(out, F.lit(f"&{name};"), F.lit(sign))
+    return out
+
+
+def links_in(page: Column) -> Column:
+    """The links of all canonical and refresh elements of a page, without those in comments and scripts."""
+    elements = F.regexp_extract_all(F.regexp_replace(page, SILENT, ""), F.lit(ELEMENTS), F.lit(0))
+
+    def value(element: Column, name: str) -> Column:
+        return F.regexp_replace(F.regexp_extract(element, rf"(?i)\s{name}\s*=\s*{VALUE}", 1), "^[\"']|[\"']$", "")
+
+    def link(element: Column) -> Column:
+        canonical = value(element, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+        refresh = value(element, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")
+        target = F.regexp_extract(decoded(value(element, "content")), r"(?i)\burl\s*=\s*[\"']?([^\"']+)", 1)
+        return F.when(canonical, decoded(value(element, "href"))).when(refresh, target).otherwise(F.lit(""))
+
+    found = F.transform(elements, lambda e: F.trim(link(e)))
+    return F.when(page.rlike("(?i)canonical|refresh"), F.array_distinct(F.filter(found, lambda x: x != ""))).otherwise(F.array().cast("array<string>"))
 
 
 def link_target(url: Column, link: Column) -> Column:
-    """The absolute url of a link found on `url`: absolute, without a scheme, from the root, or beside the page."""
+    """The absolute url of a link found on `url`: absolute, without a scheme, from the root, a query or fragment of the
+    page itself, or beside the page. Dot segments are left to node_of()."""
     scheme = F.regexp_extract(url, r"^([^:]*)://", 1)
     root = F.regexp_extract(url, r"^([^:]*://[^/?#]*)", 1)
+    page = F.regexp_extract(url, r"^([^?#]*)", 1)
     folder = F.regexp_extract(url, r"^([^:]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
     return (
@@ -45,6 +97,7 @@ def link_target(url: Column, link: Column) -> Column:
         .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?") | link.startswith("#"), F.concat(page, link))
         .otherwise(F.concat(folder, link))
     )
 
@@ -90,8 +143,8 @@ def judge(
 ) -> DataFrame:
     """page_id, url, host, path, rule (null if none fits) and verdict (allow or block) of every row.
 
-    rules: (allow or block, host, path), as a list or as a table (verdict, host, path). Links come from canonical and
-    refresh elements of `html_col` and from `redirects` (from_url, to_url). A url without a rule is allowed if a url
+    rules: (allow or block, host, path), as a list or as a table (verdict, host, path). Links come from all canonical and
+    refresh elements of `html_col` outside comments and scripts, and from `redirects` (from_url, to_url). A url without a rule is allowed if a url
     of its component has an allow rule, else blocked if one has a block rule, else allowed; rules of link targets
     that are no rows themselves count as well. Null urls and urls without :// have empty host and path, no rule and no
     alias. Repeated rows are each judged; other columns are not read. An empty table gives no rows.
@@ -101,8 +154,7 @@ def judge(
     rows = pages.select(*columns, host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     links = [redirects.select(F.col("from_url").alias("a"), F.col("to_url").alias("b"))] if redirects is not None else []
     if html_col:
-        found = F.array(*[F.regexp_extract(F.coalesce(F.col(html_col).cast("string"), F.lit("")), p, 1) for p in (CANONICAL, REFRESH)])
-        named = pages.select(url.alias("a"), F.explode(F.filter(found, lambda x: x != "")).alias("link"))
+        named = pages.select(url.alias("a"), F.explode(links_in(F.coalesce(F.col(html_col).cast("string"), F.lit("")))).alias("link"))
         links.append(named.select("a", link_target(F.col("a"), F.col("link")).alias("b")))
     group, known = None, None
     if links:

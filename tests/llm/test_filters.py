@@ -54,6 +54,32 @@ def test_blocks_spread_over_links_unless_allowed(spark):
     assert {r.page_id: r.verdict for r in url_filter.judge(df, rules, redirects=redirects).collect()}[8] == "block"
 
 
+LINKS = [
+    ("http://a.com/x/y?p=1", "http://b.com/q?a=1&amp;b=2", "b.com/q?a=1&b=2"),
+    ("http://a.com/x/y", "../z", "a.com/z"), ("http://a.com/x/y/w", "./../q/./r/..", "a.com/x/q/"), ("http://a.com/x", "../../..", "a.com/"),
+    ("http://a.com/x/y?k=2#f", "?q=1", "a.com/x/y?q=1"), ("http://a.com/x/y", "#top", "a.com/x/y"), ("http://a.com", "z", "a.com/z"),
+    ("http://a.com:80/x", "https://C.com:443", "c.com/"), ("http://a.com/", "//d.com:443/x", "d.com:443/x"), ("https://a.com/p", "/r&#47;s&#x3F;t", "a.com/r/s?t"),
+    ("http://a.com/&#233;", "/&#233;&#x1F600;&#xD800;&#0;", "a.com/é😀\ufffd\ufffd"), ("http://a.com/a.b/.c", "...", "a.com/a.b/..."),
+]
+
+
+def test_link_targets(spark):
+    df = spark.createDataFrame([(u, h) for u, h, _ in LINKS], "url string, href string")
+    made = F.concat(F.lit('<meta name=x><link rel="canonical" href="'), "href", F.lit('">'))
+    found = df.select("url", F.explode(url_filter.links_in(made)).alias("link")).select(url_filter.node_of(url_filter.link_target(F.col("url"), F.col("link"))))
+    assert [r[0] for r in found.collect()] == [n for *_, n in LINKS]
+
+
+def test_all_links_of_a_page(spark):
+    page = (
+        "<!-- <link rel=canonical href=/no1> --><script>'<link rel=canonical href=/no2>'</script><LINK REL='alternate Canonical' data-href=/no3 href='/one x'>"
+        '<link rel=canonicals href=/no4><link href=/two rel=canonical title="a > b"><meta http-equiv=refresh content="5; URL=\'/three?a=1&amp;b=2\'">'
+        "<meta http-equiv='Refresh' content='0'><link rel=canonical href=''><a rel=canonical href=/no5></a><link rel=canonical href=/two>"
+    )
+    df = spark.createDataFrame([(page,), ("",), ("<link rel=canonical href=",)], "html string")
+    assert [r[0] for r in df.select(url_filter.links_in(F.col("html"))).collect()] == [["/one x", "/two", "/three?a=1&b=2"], [], []]
+
+
 def test_no_pages(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
