@@ -71,6 +71,12 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def vote(found: np.ndarray) -> int:
+    """The SimHash of a set: the bits that are set in over half of its hashes, as a signed number."""
+    counts = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view(np.int64)[0])
+
+
 def _mapped(rows: DataFrame, make: Callable[[np.ndarray], tuple], shingle: int, schema: pa.Schema, ddl: str) -> DataFrame:
     """Of rows (row, text): the row and what is made of its shingle set."""
 
@@ -118,10 +124,11 @@ def _apart(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.withColumn("several", several).where("several").drop("several"), "apart")
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_links(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, proposed: DataFrame | None = None) -> DataFrame:
     """(a, b) with a similarity of at least this, that connect all that are connected by such pairs.
 
     nodes: (row, n, odd, prefix) of distinct sets of n shingles, odd: parity(); rows: (row, text) with at least these rows.
+    proposed: pairs (a, b) of rows to be looked at first; the better they are, the fewer pairs are left.
     """
     block = Window.partitionBy("h")
     dealt = nodes.select("row", F.explode("prefix").alias("h")).select("h", "row", F.count("*").over(block).alias("m"))
@@ -140,7 +147,10 @@ def similar_links(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: f
             centre = F.row_number().over(block.orderBy(order))
             other = written(apart.withColumn("at", centre).where("at = 1").drop("at"), "centres")
         pairs = apart.alias("l").join(other.alias("r"), F.expr(near if order is not None else f"{near} AND l.row < r.row"))
-        pairs = pairs.select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b")).distinct()
+        pairs = pairs.select(F.least("l.row", "r.row").alias("a"), F.greatest("l.row", "r.row").alias("b"))
+        if order is not None and proposed is not None:
+            pairs = pairs.unionByName(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = pairs.distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         now = _verified(pairs, rows, shingle, similarity)
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -150,24 +160,28 @@ def similar_links(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: f
     return links
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, propose: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(row, component_id) per row: groups of texts linked, directly or over others, by an exact Jaccard similarity of
     at least this between their shingle sets; the least id names the group. Texts without words are one group, texts of
-    fewer words than a shingle are one shingle. Ids that aren't null must be distinct."""
+    fewer words than a shingle are one shingle. Ids that aren't null must be distinct. propose: makes pairs (a, b) to be
+    looked at first from (row, fp), the SimHash of every distinct set."""
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text"))
     common, counts = common_shingles(rows, shingle)
 
     def sketch(found: np.ndarray) -> tuple:
         one, two = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
-        return one, two, len(found), parity(found), prefix(found, similarity, common, counts)
+        return one, two, len(found), vote(found), parity(found), prefix(found, similarity, common, counts)
 
-    fields = [("row", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("odd", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]
-    ddl = "row long, one long, two long, n long, odd array<long>, prefix array<long>"
+    fields = [("row", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("odd", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]
+    ddl = "row long, one long, two long, n long, fp long, odd array<long>, prefix array<long>"
     sketches = written(_mapped(rows, sketch, shingle, pa.schema(fields), ddl), "sketches")
     # Equal sets are one node, their least row.
     nodes = written(sketches.groupBy("one", "two").agg(F.min("row").alias("node")), "nodes")
-    first = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "odd", "prefix")
-    links = similar_links(first, rows, shingle, similarity)
+    first = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "fp", "odd", "prefix")
+    proposed = written(propose(first.select("row", "fp")), "proposed") if propose else None
+    links = similar_links(first.drop("fp"), rows, shingle, similarity, proposed)
     found = components(links, "a", "b").select(F.col("node"), F.col("component").alias("component_id"))
     named = nodes.join(found, "node", "left").select("one", "two", F.coalesce("component_id", "node").alias("component_id"))
     return sketches.select("row", "one", "two").join(written(named, "named"), ["one", "two"]).select("row", "component_id")

@@ -130,9 +130,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     lines = written(lines_of(rows, text_col, id_col), "lines")
     gone = repeated_lines(lines, min_words)
-    # The same plan at every size: texts are dealt once by row, which a broadcast of all deletions can't replace.
-    joined = rows.hint("merge").join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, n: ~F.array_contains("__gone", n))
+    joined = rows.join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
+    parts = F.split(F.col(text_col), "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda n: F.get(parts, n))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
     return joined.withColumn(text_col, text).withColumn("lines_removed", removed).drop("__row", "__gone")

@@ -7,7 +7,10 @@ of queries, so no task holds a whole hot shard. Trees travel by exchange, not by
 size nothing would bound.
 
 Two fingerprints that differ in at most r of b blocks agree on some b - r whole blocks, so with a shard for every such
-choice no link is lost. keep_one() doesn't estimate: its links are those of burrow.llm.jaccard.
+choice no link is lost.
+
+keep_one() removes near duplicates by similarity, which fingerprints only estimate: their links are proposals there, each is
+verified on the whole shingle sets, and burrow.llm.jaccard adds the similar pairs whose fingerprints are further apart.
 """
 
 from __future__ import annotations
@@ -179,14 +182,13 @@ def block_keys(n: int, radius: int, fill: int = 4096) -> list[int]:
     return chosen
 
 
-def groups(prints: DataFrame, masks_for, radius: int, shard_rows: int) -> DataFrame:
-    """(fp, fp2, component_id) of every distinct fingerprint of prints (doc_id, fp, fp2)."""
-    distinct = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id"))
-    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+def tree_links(distinct: DataFrame, radius: int, shard_rows: int, masks_for=None) -> DataFrame:
+    """(a, b) of distinct: (node, fp, fp2), distinct fingerprints: links that connect all that differ in `radius` bits or fewer."""
     low = (1 << 64) - 1
+    masks = (masks_for or (lambda n: block_keys(n, radius)))(distinct.count())
     keys = [
         F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m & low))), F.col("fp2").bitwiseAND(F.lit(_signed(m >> 64))))
-        for i, m in enumerate(masks_for(distinct.count()))
+        for i, m in enumerate(masks)
     ]
     keyed = written(distinct.select(F.explode(F.array(*keys)).alias("shard"), "node", "fp", "fp2"), "keyed")
     sizes = keyed.groupBy("shard").count().where("count > 1")
@@ -198,8 +200,14 @@ def groups(prints: DataFrame, masks_for, radius: int, shard_rows: int) -> DataFr
         .withColumn("part", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"))
         .select("shard", "part", "node", "fp", "fp2", F.expr("CASE WHEN own < other THEN 0 WHEN own > other THEN 1 ELSE 2 END").alias("role"))
     )
-    dealt = cut.repartition("shard", "part").sortWithinPartitions("shard", "part", "fp")
-    found = components(_links(dealt, radius), "a", "b").select("node", "component")
+    return _links(cut.repartition("shard", "part").sortWithinPartitions("shard", "part", "fp"), radius)
+
+
+def groups(prints: DataFrame, masks_for, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, fp2, component_id) of every distinct fingerprint of prints (doc_id, fp, fp2)."""
+    distinct = prints.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    found = components(tree_links(distinct, radius, shard_rows, masks_for), "a", "b").select("node", "component")
     named = distinct.join(found, "node", "left").select("fp", "fp2", "first_id", F.coalesce("component", "node").alias("component"))
     named = written(named, "named")
     # Written, so that the join below is one of two tables and a hot component can be split.
@@ -233,14 +241,24 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def proposals(prints: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(a, b) of prints (row, fp): rows with equal fingerprints and what the trees find, as links that connect them all."""
+    distinct = written(prints.groupBy("fp").agg(F.min("row").alias("node")).withColumn("fp2", F.lit(0).cast("long")), "distinct")
+    equal = prints.join(distinct.select("fp", "node"), "fp").where("row != node").select(F.col("row").alias("a"), F.col("node").alias("b"))
+    return equal.unionByName(tree_links(distinct, radius, shard_rows))
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, shard_rows: int = 4096
+) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the least id, of equal ids the first in the input.
 
-    Texts are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`. All columns
-    stay. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
+    Texts are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`; `radius` only says
+    how many of these links the fingerprints propose. All columns stay, but none may be named __row. Null ids come before
+    others. Rows with empty or null texts are one group. An empty table stays empty.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = similar_groups(rows, "__row", text_col, shingle, similarity).withColumnRenamed("row", "__row")
+    found = similar_groups(rows, "__row", text_col, shingle, similarity, lambda prints: proposals(prints, radius, shard_rows)).withColumnRenamed("row", "__row")
     member = found.join(rows.select("__row", F.col(id_col).alias("id")), "__row")
     kept = member.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
     # The same plan at every size: texts are dealt once by row, which a broadcast of all decisions can't replace.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from burrow.llm import simhash
+from burrow.llm import jaccard, simhash
 from burrow.llm.jaccard import parity, prefix, similar_groups
 from burrow.llm.line_dedup import dedup_lines
 
@@ -90,12 +90,25 @@ def test_similarity_mode_keeps_one_of_each_group(spark):
             rows.append((len(rows), " ".join(changed)))
     docs = spark.createDataFrame([*rows, (None, None), (200, ""), (201, None)], "doc_id long, text string")
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
-    # Fingerprints only estimate similarity: all originals stay, and at least nine of ten copies go.
+    # All originals stay; copies go but for those that are less similar than 0.8.
     assert {i for i in of if i % 3 == 0} <= set(kept) and kept.count(None) == 1
     assert sum(i % 3 > 0 for i in kept if i is not None) <= 6 and 200 not in kept and 201 not in kept
     assert simhash.keep_one(docs.where("false")).count() == 0
 
 
+def test_proposals_connect_near_fingerprints(spark):
+    values = [5, 5, 4, 1 << 40, (1 << 40) + 7, 0x0F0F0F0F0F0F0F0F, (1 << 64) - 1]
+    prints = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "row long, fp long")
+    found = simhash.proposals(prints, 4, 4096).collect()
+    label = list(range(len(values)))
+    for _ in values:
+        for a, b in found:
+            label[a] = label[b] = min(label[a], label[b])
+    assert label == plain_groups(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    texts = ["a b c d e f", "x y", "one two three four five six seven"]
+    assert [jaccard.vote(jaccard.shingle_set(t, 5)) & (1 << 64) - 1 for t in texts] == [plain_fingerprint(t, 5) for t in texts]
+
+
 def plain_line_dedup(rows, least):
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
     count = lambda line: len(re.findall(r"[^\x20\x09-\x0D]+", line))
