@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from burrow.llm.components import components
-from burrow.llm.store import written
+from burrow.llm.store import discard, written
 
 SEED = 42  # of the shingles' XXH64, as in Spark's xxhash64
 PARITY = 256  # bits of a set's parity()
+CLASSES = 128  # of a set's spread()
 
 
 def hashes(text: str | None, shingle: int, block: int = 200_000) -> Iterator[np.ndarray]:
@@ -71,6 +72,12 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def spread(found: np.ndarray) -> np.ndarray:
+    """How many hashes of a set are in each of CLASSES classes. Two sets differ in at least as many shingles as these
+    numbers differ, summed up."""
+    return np.minimum(np.bincount((found >> 8) & (CLASSES - 1), minlength=CLASSES), np.iinfo(np.int16).max).astype(np.int16)
+
+
 def vote(found: np.ndarray) -> int:
     """The SimHash of a set: the bits that are set in over half of its hashes, as a signed number."""
     counts = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -106,13 +113,25 @@ def common_shingles(rows: DataFrame, shingle: int, sample: int = 4096, most: int
     return found["h"].to_numpy(), found["count"].to_numpy()
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that spread() doesn't rule out."""
+    of = nodes.select("row", "n", "spread")
+    both = pairs.join(of.toDF("a", "n_a", "of_a"), "a").join(of.toDF("b", "n_b", "of_b"), "b")
+    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda held, x: held + x)
+    most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
+    return both.where(apart <= most).select("a", "b")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of rows whose sets are similar."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = written(_sets(rows.join(written(asked, "asked"), "row", "left_semi").select("row", "text"), shingle), "sets")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "asked")
+    # The rows asked for are few beside the texts: a hash table of them in every partition spares sorting the texts.
+    sets = written(_sets(rows.join(asked.hint("shuffle_hash"), "row", "left_semi").select("row", "text"), shingle), "sets")
     both = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     shared, sizes = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return written(both.where(shared * (1 + similarity) >= similarity * sizes - 1e-6).select("a", "b"), "verified")
+    out = written(both.where(shared * (1 + similarity) >= similarity * sizes - 1e-6).select("a", "b"), "verified")
+    discard(asked, sets)
+    return out
 
 
 def _apart(blocks: DataFrame, links: DataFrame) -> DataFrame:
@@ -127,14 +146,14 @@ def _apart(blocks: DataFrame, links: DataFrame) -> DataFrame:
 def similar_links(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float, proposed: DataFrame | None = None) -> DataFrame:
     """(a, b) with a similarity of at least this, that connect all that are connected by such pairs.
 
-    nodes: (row, n, odd, prefix) of distinct sets of n shingles, odd: parity(); rows: (row, text) with at least these rows.
-    proposed: pairs (a, b) of rows to be looked at first; the better they are, the fewer pairs are left.
+    nodes: (row, n, odd, spread, prefix) of distinct sets of n shingles, odd: parity(); rows: (row, text) with at least these
+    rows. proposed: pairs (a, b) of rows to be looked at first; the better they are, the fewer pairs are left.
     """
     block = Window.partitionBy("h")
     dealt = nodes.select("row", F.explode("prefix").alias("h")).select("h", "row", F.count("*").over(block).alias("m"))
     dealt = written(dealt.where("m > 1"), "blocks")
     # A text with many neighbours is the centre that leaves the fewest apart.
-    weights = dealt.groupBy("row").agg(F.sum("m").alias("weight")).join(nodes.drop("prefix"), "row")
+    weights = dealt.groupBy("row").agg(F.sum("m").alias("weight")).join(nodes.select("row", "n", "odd"), "row")
     blocks = dealt.select("h", "row").join(written(weights, "weights"), "row").withColumn("component", F.col("row"))
     apart = blocks = written(blocks, "members")
     differ = " + ".join(f"bit_count(l.odd[{i}] ^ r.odd[{i}])" for i in range(PARITY // 64))
@@ -152,11 +171,15 @@ def similar_links(nodes: DataFrame, rows: DataFrame, shingle: int, similarity: f
             pairs = pairs.unionByName(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         pairs = pairs.distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        now = _verified(pairs, rows, shingle, similarity)
+        possible = written(_possible(pairs, nodes, similarity), "possible")
+        now = _verified(possible, rows, shingle, similarity)
+        discard(possible)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = now if links is None else links.unionByName(now)
         if order is not None:
+            discard(other)
             apart = _apart(blocks, links)
+    discard(dealt, blocks, apart)
     return links
 
 
@@ -172,16 +195,19 @@ def similar_groups(
 
     def sketch(found: np.ndarray) -> tuple:
         one, two = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
-        return one, two, len(found), vote(found), parity(found), prefix(found, similarity, common, counts)
+        return one, two, len(found), vote(found), parity(found), spread(found), prefix(found, similarity, common, counts)
 
-    fields = [("row", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("odd", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))]
-    ddl = "row long, one long, two long, n long, fp long, odd array<long>, prefix array<long>"
+    fields = [("row", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("odd", pa.list_(pa.int64())), ("spread", pa.list_(pa.int16())), ("prefix", pa.list_(pa.int64()))]
+    ddl = "row long, one long, two long, n long, fp long, odd array<long>, spread array<short>, prefix array<long>"
     sketches = written(_mapped(rows, sketch, shingle, pa.schema(fields), ddl), "sketches")
     # Equal sets are one node, their least row.
     nodes = written(sketches.groupBy("one", "two").agg(F.min("row").alias("node")), "nodes")
-    first = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "fp", "odd", "prefix")
+    first = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "n", "fp", "odd", "spread", "prefix")
     proposed = written(propose(first.select("row", "fp")), "proposed") if propose else None
     links = similar_links(first.drop("fp"), rows, shingle, similarity, proposed)
     found = components(links, "a", "b").select(F.col("node"), F.col("component").alias("component_id"))
     named = nodes.join(found, "node", "left").select("one", "two", F.coalesce("component_id", "node").alias("component_id"))
-    return sketches.select("row", "one", "two").join(written(named, "named"), ["one", "two"]).select("row", "component_id")
+    named = written(named, "named")
+    out = written(sketches.select("row", "one", "two").join(named, ["one", "two"]).select("row", "component_id"), "groups")
+    discard(sketches, nodes, named)
+    return out

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from burrow.llm.store import written
+from burrow.llm.store import discard, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,8 +46,8 @@ def ranked(windows: DataFrame, *keys: str) -> DataFrame:
     return placed.join(starts, "part").select(*keys, (F.col("start") + inside).alias("rank"))
 
 
-def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
-    """(level, row, i, rank): for each level up to floor(log2(longest)), the ranks of the repeated windows of 2^level
+def suffix_ranks(lines: DataFrame, longest: int) -> list[DataFrame]:
+    """Tables (level, row, i, rank): for each level up to floor(log2(longest)), the ranks of the repeated windows of 2^level
     lines. Windows with equal lines have equal ranks; ranks sort windows by their line ids."""
     ranks = ranked(lines.select("id"), "id")
     now = written(lines.join(ranks, "id").select("row", "i", "rank"), "level")
@@ -61,10 +61,7 @@ def suffix_ranks(lines: DataFrame, longest: int) -> DataFrame:
         now = written(pairs.join(ranks, ["half", "next"]).select("row", "i", "rank"), "level")
         level += 1
         levels.append(now.select(F.lit(level).alias("level"), "row", "i", "rank"))
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out
+    return levels
 
 
 def shortest_windows(active: DataFrame, min_words: int) -> DataFrame:
@@ -101,8 +98,11 @@ def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
     windows = written(shortest_windows(active, min_words), "windows")
     longest = windows.agg(F.max("m")).first()[0]
     if longest is None:
-        return lines.select("row", F.array("line").alias("lines")).where(F.lit(False))
-    ranks = suffix_ranks(active, longest)
+        return lines.sparkSession.createDataFrame([], "row long, lines array<int>")
+    levels = suffix_ranks(active, longest)
+    ranks = levels[0]
+    for more in levels[1:]:
+        ranks = ranks.unionByName(more)
     level = F.floor(F.log2(F.col("m").cast("double")) + 1e-9).cast("int")
     head = windows.withColumn("level", level).withColumn("tail", (F.col("i") + F.col("m") - F.pow(F.lit(2.0), level)).cast("int"))
     named = head.join(ranks.withColumnRenamed("rank", "a"), ["level", "row", "i"]).join(
@@ -115,7 +115,9 @@ def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
     later = named.join(earliest, ["m", "a", "b"]).where(place > F.col("earliest")).select("row", "i", "m")
     covered = later.select("row", F.explode(F.expr("sequence(i, i + m - 1)")).alias("i")).distinct()
     gone = covered.join(active.select("row", "i", "line"), ["row", "i"])
-    return gone.groupBy("row").agg(F.collect_set("line").alias("lines"))
+    out = written(gone.groupBy("row").agg(F.collect_set("line").alias("lines")), "gone")
+    discard(active, windows, named, earliest, *levels)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
@@ -130,6 +132,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     lines = written(lines_of(rows, text_col, id_col), "lines")
     gone = repeated_lines(lines, min_words)
+    discard(lines)
     joined = rows.join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda n: F.get(parts, n))

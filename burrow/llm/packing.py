@@ -72,7 +72,8 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path).encode
+        held_encoder = encoder(tokenizer_path)
+        ids_of = held_encoder.encode
         packer = BestFit(capacity, bins, TaskContext.get().partitionId() << 36)
         end, step = end_id.to_bytes(4, "little"), 4 * capacity
         held: list[tuple] = []
@@ -85,6 +86,7 @@ def pack(
             if len(held) >= look_ahead:
                 yield placed(packer, held)
                 held = []
+        held_encoder.rest()
         if held:
             yield placed(packer, held)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from burrow.llm.components import components
 from burrow.llm.jaccard import hashes, similar_groups
-from burrow.llm.store import written
+from burrow.llm.store import bucketed, discard, written
 
 WAYS = 129  # distances that two words of 64 bits can have
 
@@ -257,9 +257,10 @@ def keep_one(
     how many of these links the fingerprints propose. All columns stay, but none may be named __row. Null ids come before
     others. Rows with empty or null texts are one group. An empty table stays empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = bucketed(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", "__row")
     found = similar_groups(rows, "__row", text_col, shingle, similarity, lambda prints: proposals(prints, radius, shard_rows)).withColumnRenamed("row", "__row")
     member = found.join(rows.select("__row", F.col(id_col).alias("id")), "__row")
     kept = member.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
-    # The same plan at every size: texts are dealt once by row, which a broadcast of all decisions can't replace.
-    return rows.hint("merge").join(written(kept, "kept"), "__row", "left_semi").drop("__row")
+    kept = written(kept, "kept")
+    discard(found)
+    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row")

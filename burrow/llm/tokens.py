@@ -118,6 +118,10 @@ class Encoder:
         of = self.pieces.__getitem__
         return [b"".join(map(of, self._split(t or ""))) for t in texts]
 
+    def rest(self) -> None:
+        """Forgets the old generations: the worker may stay idle for long after a task."""
+        self.pieces.old, self.words.old = {}, {}
+
     @staticmethod
     def _split(text: str) -> list[str]:
         return regex.split(r"[ \t\n\r]+", text.strip(" \t\n\r")) if SEPARATORS.search(text) else text.split()

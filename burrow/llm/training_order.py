@@ -66,7 +66,8 @@ def token_table(rows: DataFrame, path: str, end_id: int, width: int) -> DataFram
     before this document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(path, width).encode, end_id.to_bytes(width, "little")
+        held = encoder(path, width)
+        ids_of, end = held.encode, end_id.to_bytes(width, "little")
         last: tuple = (None, -1)
         first = before = 0
         for batch in batches:
@@ -83,6 +84,7 @@ def token_table(rows: DataFrame, path: str, end_id: int, width: int) -> DataFram
                     before += n
                 columns = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["file", "first", "place", "before", "n", "ids"])
+        held.rest()
 
     return rows.mapInArrow(run, "file string, first long, place long, before long, n long, ids binary")
 
