@@ -25,7 +25,6 @@ from burrow.llm.store import discard, written
 
 SEED = 42  # of the shingles' XXH64, as in Spark's xxhash64
 PARITY = 256  # bits of a set's parity()
-CLASSES = 128  # of a set's spread()
 
 
 def hashes(text: str | None, shingle: int, block: int = 200_000) -> Iterator[np.ndarray]:
@@ -73,9 +72,11 @@ def parity(found: np.ndarray) -> np.ndarray:
 
 
 def spread(found: np.ndarray) -> np.ndarray:
-    """How many hashes of a set are in each of CLASSES classes. Two sets differ in at least as many shingles as these
-    numbers differ, summed up."""
-    return np.minimum(np.bincount((found >> 8) & (CLASSES - 1), minlength=CLASSES), np.iinfo(np.int16).max).astype(np.int16)
+    """How many hashes of a set are in each class. Two sets differ in at least as many shingles as these numbers differ,
+    summed up. There are a quarter to half as many classes as hashes, always a power of two: a pair whose sizes a similar
+    pair can have has at most twice as many on one side."""
+    classes = 1 << min(14, max(4, (len(found) // 4).bit_length()))
+    return np.minimum(np.bincount((found >> 8) & (classes - 1), minlength=classes), np.iinfo(np.int16).max).astype(np.int16)
 
 
 def vote(found: np.ndarray) -> int:
@@ -117,7 +118,14 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     """Those of the pairs (a, b) that spread() doesn't rule out."""
     of = nodes.select("row", "n", "spread")
     both = pairs.join(of.toDF("a", "n_a", "of_a"), "a").join(of.toDF("b", "n_b", "of_b"), "b")
-    apart = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda held, x: held + x)
+    both = both.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
+    classes = F.least(F.size("of_a"), F.size("of_b"))
+
+    def folded(name: str):
+        halves = F.zip_with(F.slice(name, F.lit(1), classes), F.slice(name, classes + 1, classes), lambda x, y: x.cast("int") + y.cast("int"))
+        return F.when(F.size(name) > classes, halves).otherwise(F.col(name).cast("array<int>"))
+
+    apart = F.aggregate(F.zip_with(folded("of_a"), folded("of_b"), lambda x, y: F.abs(x - y)), F.lit(0), lambda held, x: held + x)
     most = (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6
     return both.where(apart <= most).select("a", "b")
 

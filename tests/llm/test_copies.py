@@ -202,6 +202,22 @@ def test_links_do_not_depend_on_the_corpus(spark):
     assert not hasattr(simhash, "sampled_keys")
 
 
+def test_possible_pairs_hold_all_similar_ones(spark):
+    draw = np.random.default_rng(7)
+    sets = []
+    for n in [1, 2, 5, 14, 15, 16, 17, 30, 31, 32, 33, 60, 63, 64, 65, 127, 128, 129, 500, 511, 512, 513, 1000] * 2:
+        base = np.unique(draw.integers(-(1 << 62), 1 << 62, n))
+        for share in (0.0, 0.08, 0.1, 0.11, 0.12, 0.3):
+            kept = base[draw.random(len(base)) >= share]
+            sets.append(np.union1d(kept, draw.integers(-(1 << 62), 1 << 62, draw.integers(0, 1 + n // 9))))
+    sets = [s for s in sets if len(s)]
+    nodes = spark.createDataFrame([(i, len(s), jaccard.spread(s).tolist()) for i, s in enumerate(sets)], "row long, n long, spread array<short>")
+    near = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i + 1, min(len(sets), i + 6))}
+    pairs = spark.createDataFrame(list(near), "a long, b long")
+    found = {(r.a, r.b) for r in jaccard._possible(pairs, nodes, 0.8).collect()}
+    assert {p for p, x in near.items() if x >= 0.8} <= found and not any(near[p] < 0.5 for p in found)
+
+
 def test_parity_never_exceeds_the_difference():
     draw = np.random.default_rng(4)
     for _ in range(200):
