@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from burrow.functions import dates, geo
-from burrow.functions.text import words
+from burrow.functions.text import joined_parts, words
 from burrow.functions.types import check_filter, field_type
 
 
@@ -65,6 +67,22 @@ def term(name: str, value) -> Filter:
     return _on_values(name, lambda x: x == F.lit(value), lambda found: F.forall(words(F.lit(str(value))), lambda w: F.array_contains(found, w)))
 
 
+def analysed(name: str, value: str, stem: bool = True, synonyms: dict[str, list[str]] | None = None) -> Filter:
+    """A full-text field has each of these words, or one of its synonyms, by stems and also in words written in parts (wi-fi)."""
+
+    def found(schema: T.StructType) -> Column:
+        c = F.col(f"`{name}`")
+        held = F.concat(words(c, stem), joined_parts(c))
+        tests = []
+        for word in value.lower().split():
+            kinds = [word, *(synonyms or {}).get(word, [])]
+            tests.append(F.arrays_overlap(held, F.concat(*[words(F.lit(w), stem) for w in kinds], F.array(*map(F.lit, kinds)))))
+        return reduce(and_, tests, F.lit(True)) & c.isNotNull()
+
+    check_filter(name)
+    return Filter(found)
+
+
 def phrase(name: str, value: str) -> Filter:
     """These words in this order, without others between; equality on other fields."""
 

@@ -15,6 +15,12 @@ def words(text: Column, stem: bool = False, protected: tuple[str, ...] = PROTECT
     return F.transform(found, lambda w: stemmed(w, protected)) if stem else found
 
 
+def joined_parts(text: Column) -> Column:
+    """What words() cuts in two at signs, in one piece as well: wi-fi gives wifi."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[-'_.][\p{L}\p{N}]+)+"), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]+", ""))
+
+
 def stemmed(word: Column, protected: tuple[str, ...] = PROTECTED) -> Column:
     """A light English stem: plural, -ed and -ing endings."""
     cut = F.regexp_replace(word, "(?<=[^s])s$", "")

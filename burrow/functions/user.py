@@ -44,8 +44,30 @@ def by_row(function: Callable[[dict], dict | None], schema: str) -> Callable[[Da
     return lambda df: df.mapInPandas(batches, schema)
 
 
-def invoke(df: DataFrame, make: Callable[[], object], schema: str) -> DataFrame:
-    """A scripted operator, a new object for each partition: on_start(), on_data(row) and on_done() each return any rows."""
+def invoke(df: DataFrame, make: Callable[[], object], schema: str, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """A scripted operator: on_start(), on_data(row) and on_done() each return any rows. A new object for each partition, or
+    with `by` for each key, whose rows it sees in the order of the columns `order` and never holds all at once."""
+
+    def by_key(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        key, held = None, None
+        for part in parts:
+            rows = []
+            for row in part.to_dict("records"):
+                now = tuple(None if row[c] != row[c] else row[c] for c in by)  # nulls of numbers come as NaN
+                if held is None or now != key:
+                    rows.extend((getattr(held, "on_done", list)() or []) if held is not None else [])
+                    key, held = now, make()
+                    rows.extend(getattr(held, "on_start", list)() or [])
+                rows.extend(held.on_data(row) or [])
+            if rows:
+                yield pd.DataFrame(rows)
+        if held is not None and (rows := getattr(held, "on_done", list)() or []):
+            yield pd.DataFrame(rows)
+
+    if by:
+        return df.repartition(*by).sortWithinPartitions(*by, *(order or [])).mapInPandas(by_key, schema)
 
     def batches(parts: Iterator) -> Iterator:
         import pandas as pd

@@ -46,11 +46,9 @@ def facet(
         found = found.where(F.col("value").startswith(prefix))
     counts = found.groupBy("value").agg(F.count("*").alias("count")).where(F.col("count") >= mincount)
     by = [F.desc("count"), "value"] if sort == "count" else ["value"]
-    if start or limit >= 0:
-        counts = counts.orderBy(*by)
-        counts = counts.offset(start) if start else counts
-        return counts.limit(limit) if limit >= 0 else counts
-    return counts
+    counts = counts.orderBy(*by)
+    counts = counts.offset(start) if start else counts
+    return counts.limit(limit) if limit >= 0 else counts
 
 
 def value_counts(partials: DataFrame, mincount: int = 0) -> DataFrame:
@@ -151,7 +149,7 @@ def host_facet(df: DataFrame, field: str, where: Filter | None = None) -> DataFr
 
 
 def accumulate(df: DataFrame, field: str) -> DataFrame:
-    """(value, rows): whole rows gathered by a field, for groups that fit into a row."""
+    """(value, rows): whole rows gathered by a field, for groups that fit into a row. ordered_rows() has no such bound."""
     rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
     return df.groupBy(F.col(f"`{field}`").cast("string").alias("value")).agg(rows.alias("rows"))
 
@@ -162,6 +160,20 @@ def sorted_accumulate(df: DataFrame, by: str, descending: bool = False) -> DataF
     return df.agg(F.transform(rows, lambda x: x["_row"]).alias("data")).where(F.size("data") > 0)
 
 
+def ordered_rows(df: DataFrame, by: str, group: str | None = None, descending: bool = False) -> DataFrame:
+    """The rows in the order of a field, each with its position (from 0), over all or in each group. Without a group the rows are
+    dealt out by ranges of the field, so that no task holds them all; those of one group are in one place."""
+    order = F.col(f"`{by}`").desc_nulls_last() if descending else F.col(f"`{by}`").asc_nulls_first()
+    if group is not None:
+        return df.withColumn("position", F.row_number().over(Window.partitionBy(f"`{group}`").orderBy(order)).cast("long") - 1)
+    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))  # a row a task
+    found = placed.withColumn("_part", part).join(starts, "_part")
+    return found.withColumn("position", F.col("_start") + F.col("_place") - F.shiftleft("_part", 33)).drop("_part", "_place", "_start")
+
+
 def derive_schema(envelopes: DataFrame, data: str = "data", sample: int | None = 100) -> DataFrame:
     """(value, count): in how many of the sampled documents a field occurs; `sample` documents by key of every partition
     (None for all), each with its JSON text in `data`."""

@@ -22,7 +22,7 @@ def join(left: DataFrame, right: DataFrame, left_field: str, right_field: str, l
 
 
 def spatial_select(
-    df: DataFrame, field: str, lat: float, lon: float, radius_km: float, where: Filter | None = None, sort: str | None = "key asc", circle: bool = False
+    df: DataFrame, field: str, lat: float, lon: float, radius_km: float, where: Filter | None = None, sort: str | None = None, circle: bool = False
 ) -> DataFrame:
     """Documents in the box around a circle (or in the circle) that also match a filter."""
     return select(df, near(field, lat, lon, radius_km, circle) & (where or everything()), sort=sort)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from burrow.functions.predicates import Filter, column
 from burrow.operators.aggregate import facet
@@ -33,10 +33,8 @@ def trace(frames: DataFrame, trace_id: str) -> DataFrame:
 
 
 def last_values(metrics: DataFrame, last: int = 60) -> DataFrame:
-    """(name, values): the last values of every metric, newest first."""
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ts")))
+    """(name, values): the last values of every metric, newest first, of one moment the largest first."""
+    turn = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ts"), F.desc("value_d")))
     recent = metrics.withColumn("_turn", turn).where(F.col("_turn") <= last)
     values = F.array_sort(F.collect_list(F.struct("_turn", "value_d")))
     return recent.groupBy("name").agg(F.transform(values, lambda x: x["value_d"]).alias("values"))

@@ -27,13 +27,16 @@ def select(
     df: DataFrame,
     where: Filter | None = None,
     fields: list[str] | None = None,
-    sort: str | list[str] | None = "key asc",
+    sort: str | list[str] | None = None,
     start: int = 0,
     limit: int | None = None,
     collation: str | None = None,
 ) -> DataFrame:
-    """Matching documents in order, `limit` of them after the first `start`. Sort by a unique field last for stable pages."""
+    """Matching documents, `limit` of them after the first `start`, in order. Sort by a unique field last for stable pages.
+
+    Pages are in the order of their keys if nothing else is asked for; a whole result is sorted only if asked for."""
     found = df.where((where or everything()).on(df))
+    sort = sort or ("key asc" if start or limit is not None else None)
     if sort:
         found = found.orderBy(*order(df, sort, collation))
     found = returned(found, fields)
@@ -76,10 +79,10 @@ def dedupe(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(keys or ["bucket", "key"])
 
 
-def vector_sequence(df: DataFrame, data: str, by: str) -> DataFrame:
+def vector_sequence(df: DataFrame, data: str, by: str, descending: bool = False) -> DataFrame:
     """The elements of a list of documents as rows, in the order of a field."""
     element = df.schema[data].dataType.elementType
-    ordered = F.array_sort(F.transform(F.col(data), lambda x: F.struct(x[by].alias("by"), x.alias("x"))))
+    ordered = F.sort_array(F.transform(F.col(data), lambda x: F.struct(x[by].alias("by"), x.alias("x"))), asc=not descending)
     rows = df.select(*[c for c in df.columns if c != data], F.posexplode(ordered).alias("position", "item"))
     return rows.select(*[c for c in df.columns if c != data], "position", *[F.col(f"item.x.{f}").alias(f) for f in element.names])
 

@@ -11,7 +11,7 @@ from burrow.functions.predicates import Filter
 from burrow.functions.user import OPERATORS, composed
 from burrow.operators import aggregate, combine, mutate, retrieve
 from burrow.sources.catalog import BucketCatalog
-from burrow.sources.envelopes import wrapped
+from burrow.sources.envelopes import as_json
 
 
 @dataclass
@@ -52,7 +52,8 @@ class Engine:
         return aggregate.cardinality(self.catalog[bucket], field, where)
 
     def global_count(self, by: str = "bucket") -> DataFrame:
-        every = retrieve.union_all([self.catalog[b].select("bucket", "partition") for b in self.catalog.names()])
+        shared = {"bucket", "partition"} | {by}
+        every = retrieve.union_all([self.catalog[b].select(*[c for c in self.catalog[b].columns if c in shared]) for b in self.catalog.names()])
         return aggregate.global_count(every, by, self.catalog.n_val)
 
     def host_facet(self, bucket: str, field: str, where: Filter | None = None) -> DataFrame:
@@ -60,8 +61,7 @@ class Engine:
 
     def derive_schema(self, bucket: str, max_samples: int | None = 100) -> DataFrame:
         df = self.catalog[bucket]
-        data = wrapped(df).selectExpr("key", "element_at(`values`, -1).data AS data")
-        return aggregate.derive_schema(data.join(df.select("key", "partition"), "key"), sample=max_samples)
+        return aggregate.derive_schema(df.select("key", "partition", as_json(df).alias("data")), sample=max_samples)
 
     # Changes
 

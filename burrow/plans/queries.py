@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from burrow.functions import predicates as P
 from burrow.functions.text import convert, path_prefixes
-from burrow.functions.user import by_row, composed
+from burrow.functions.user import by_row, composed, invoke
 from burrow.operators import aggregate, combine, monitor, mutate, retrieve
 from burrow.plans.engine import Engine
 from burrow.sources.envelopes import extract_value, wrapped
 from burrow.sources.tables import bucket, catalog
-from burrow.streaming.taps import Taps, metric_windows, with_event_time
+from burrow.streaming.taps import Taps, distinct_stream, keep_latest, latest, log_stream, metric_windows, shared_folder, with_event_time
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -96,6 +96,28 @@ def dedupe(spark, d):
     return retrieve.dedupe(events.unionByName(events.where("type_s = 'click'"))).select("key", "type_s", "value_d")
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS "key", role AS role_s FROM conversations WHERE conv_id = 3 AND turn = 1""")
+def get_turn(spark, d):
+    return retrieve.get(bucket(spark, d, "conversations"), "3/1").select("key", "role_s")
+
+
+@query("""SELECT conv_id AS conv_l, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns FROM conversations GROUP BY 1""")
+def dedupe_turns(spark, d):
+    turns = bucket(spark, d, "conversations")
+    return retrieve.dedupe(turns.unionByName(turns)).groupBy("conv_l").agg(F.count("*").alias("n"), F.sum("turn_l").alias("turns"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS "key", row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR) DESC) - 1 AS position FROM orders""")
+def ordered_rows(spark, d):
+    return aggregate.ordered_rows(bucket(spark, d, "orders").select("key"), "key", descending=True)
+
+
+@query("""SELECT conv_id AS conv_l, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS INTEGER) AS position, turn AS turn_l FROM conversations""")
+def vector_sequence_descending(spark, d):
+    gathered = bucket(spark, d, "conversations").groupBy("conv_l").agg(F.collect_list(F.struct("turn_l", "role_s")).alias("data"))
+    return retrieve.vector_sequence(gathered, "data", "turn_l", descending=True).drop("role_s")
+
+
 @query("""SELECT conv_id AS conv_l, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, turn AS turn_l, role AS role_s
           FROM conversations""")
 def vector_sequence(spark, d):
@@ -143,10 +165,10 @@ def facet_topk(spark, d):
 
 
 @query("""SELECT w AS value, count(*) AS count
-          FROM (SELECT unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda w: w <> ''))) AS w FROM part) GROUP BY 1""")
+          FROM (SELECT unnest(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: w <> ''))) AS w FROM documents) GROUP BY 1""")
 def facet_multivalue(spark, d):
-    part = bucket(spark, d, "part").withColumn("words_s_mv", F.filter(F.split(F.lower("name_t"), " "), lambda w: w != ""))
-    return aggregate.facet(part, "words_s_mv")
+    docs = bucket(spark, d, "documents").withColumn("words_s_mv", F.filter(F.split(F.lower("text_t"), " "), lambda w: w != ""))
+    return aggregate.facet(docs, "words_s_mv")
 
 
 @query("""SELECT 'returnflag_s' AS field, l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 2
@@ -245,6 +267,32 @@ def rates_hourly(spark, d):
     return aggregate.rates(bucket(spark, d, "events"), "type_s", "ts_dt", "1 hour")
 
 
+@query("""SELECT true AS within""")
+def cardinality_approximate(spark, d):
+    orders = bucket(spark, d, "orders")
+    near = aggregate.global_cardinality(orders, "custkey_l", error=0.02).withColumnRenamed("cardinality", "near")
+    exact = aggregate.global_cardinality(orders, "custkey_l")
+    both = near.select("near", F.lit(None).cast("long").alias("cardinality")).unionByName(exact.select(F.lit(None).cast("long").alias("near"), "cardinality"))
+    return both.agg((F.abs(F.max("near") - F.max("cardinality")) <= 0.1 * F.max("cardinality")).alias("within"))
+
+
+@query("""SELECT CAST(n_nationkey % 64 AS VARCHAR) AS value, count(*) * 2 AS count FROM nation GROUP BY 1""")
+def global_count_partition(spark, d):
+    return Engine(spark, catalog(spark, d, "nation")).global_count("partition")
+
+
+@query("""SELECT c_mktsegment AS value, count(*) * 2 AS count FROM customer GROUP BY 1""")
+def global_count_field(spark, d):
+    return Engine(spark, catalog(spark, d, "customer")).global_count("mktsegment_s")
+
+
+@query("""WITH s AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id % 64),
+          t AS (SELECT CAST(sum(least(n, 100)) AS BIGINT) AS n FROM s)
+          SELECT unnest(['conv_l', 'turn_l', 'role_s', 'text_t']) AS value, n AS count FROM t""")
+def derive_schema_of_bucket(spark, d):
+    return Engine(spark, catalog(spark, d, "conversations")).derive_schema("conversations")
+
+
 # Joins and places
 
 
@@ -257,9 +305,9 @@ def join_inner(spark, d):
 
 
 @query("""SELECT n_name AS "nation.name_s", r_name AS "region.name_s" FROM nation JOIN region ON n_regionkey = r_regionkey
-          WHERE n_name < 'J' AND r_name <> 'ASIA'""")
+          WHERE n_name < 'NATION_2' AND r_name <> 'ASIA'""")
 def join_of_selects(spark, d):
-    left = retrieve.select(bucket(spark, d, "nation"), P.between("name_s", high="J", with_high=False), sort=None)
+    left = retrieve.select(bucket(spark, d, "nation"), P.between("name_s", high="NATION_2", with_high=False), sort=None)
     right = retrieve.select(bucket(spark, d, "region"), ~P.term("name_s", "ASIA"), sort=None)
     return combine.join(left, right, "regionkey_i", "key", "nation", "region", ["nation.name_s", "region.name_s"])
 
@@ -325,13 +373,71 @@ def extract_values(spark, d):
     return inner.select("key", "type_s", F.get_json_object("props_ss", "$.k").alias("k"))
 
 
+@query("""SELECT 'nation' AS name, 2 AS n_val, 64 AS partitions, 'struct<key:string,bucket:string,partition:int,name_s:string,regionkey_i:int>' AS schema""")
+def bucket_props(spark, d):
+    return catalog(spark, d, "nation").props("nation")
+
+
+@query("""SELECT 'nation' AS bucket, count(*) AS n, min(n_name) AS least, CAST(sum(n_regionkey) AS BIGINT) AS regions, 'nation,region' AS names, false AS empty FROM nation""")
+def storage_folds(spark, d):
+    held = catalog(spark, d, "nation", "region")
+    folded = held.fold("nation", least=F.min("name_s"), regions=F.sum("regionkey_i"))
+    counted = held.count("nation").select("bucket", F.col("count").alias("n"))
+    told = folded.select(F.lit("nation").alias("bucket"), "*", F.lit(",".join(held.names())).alias("names"), F.lit(held.is_empty("nation")).alias("empty"))
+    return counted.join(told, "bucket")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS "key", sha1((n_nationkey % 64) || ',nation,' || n_nationkey) AS id FROM nation""")
+def document_ids(spark, d):
+    return catalog(spark, d, "nation").with_ids("nation").select("key", "id")
+
+
+@query("""SELECT CAST(n_nationkey AS VARCHAR) AS "key", n_name AS name_s, 2 AS version FROM nation WHERE n_regionkey <> 1""")
+def commit_load(spark, d):
+    engine, path = Engine(spark, catalog(spark, d, "nation")), shared_folder(spark)
+    engine.commit("nation", path)
+    engine.delete_by_select("nation", P.term("regionkey_i", 1))
+    version = engine.commit("nation", path).first()["version"]
+    return engine.catalog.load("nation", path).select("key", "name_s", F.lit(version).alias("version"))
+
+
 # Text, paths, currencies, user functions
 
 
-@query("""SELECT CAST(item_id AS VARCHAR) AS "key" FROM benchmark
-          WHERE list_contains(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), 'the')""")
+#: The words of a text in SQL, apart as in burrow.functions.text.words().
+WORDS = r"""list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(
+    text, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"""
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS "key" FROM documents WHERE list_contains({WORDS}, 'the')""")
 def text_match(spark, d):
-    return retrieve.select(bucket(spark, d, "benchmark"), P.term("text_t", "the"), ["key"], sort=None)
+    return retrieve.select(bucket(spark, d, "documents"), P.term("text_t", "the"), ["key"], sort=None)
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS "key" FROM documents WHERE contains(' ' || array_to_string({WORDS}, ' ') || ' ', ' of the ')""")
+def text_phrase(spark, d):
+    return retrieve.select(bucket(spark, d, "documents"), P.phrase("text_t", "Of the"), ["key"])
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS "key" FROM part WHERE list_has_any(string_split(p_name, ' '), ['bolt', 'ring'])""")
+def text_stems_synonyms(spark, d):
+    return retrieve.select(bucket(spark, d, "part"), P.analysed("name_t", "bolts", synonyms={"bolts": ["rings"]}), ["key"])
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS "key" FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: starts_with(w, 'w'))) > 0""")
+def text_starts(spark, d):
+    return retrieve.select(bucket(spark, d, "part"), P.starts("name_t", "W"), ["key"])
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS "key" FROM customer WHERE levenshtein(c_mktsegment, 'BUILDINKS') <= 2""")
+def text_fuzzy(spark, d):
+    return retrieve.select(bucket(spark, d, "customer"), P.like_word("mktsegment_s", "BUILDINKS"), ["key"])
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS "key" FROM part ORDER BY p_name, CAST(p_partkey AS VARCHAR) LIMIT 25""")
+def select_collated(spark, d):
+    part = bucket(spark, d, "part").withColumn("name_s", F.when(F.col("size_i") % 2 == 0, F.upper("name_t")).otherwise(F.col("name_t")))
+    return retrieve.select(part, fields=["key"], sort=["name_s asc", "key asc"], limit=25, collation="UTF8_LCASE")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS "key", round(c_acctbal / 1.0 * 0.5, 4) AS balance FROM customer""")
@@ -363,6 +469,31 @@ def udf_pre_post(spark, d):
     return engine.call("select", before=[shout, upper], after=[composed(lower)], bucket="customer", where=where, fields=["key", "name_s"], sort=None)
 
 
+class RunningTotal:
+    """A scripted operator with state: one user's events, in order."""
+
+    def on_start(self):
+        self.n, self.total = 0, 0.0
+
+    def on_data(self, row: dict):
+        self.user, self.n, self.total = row["user_l"], self.n + 1, self.total + row["value_d"]
+
+    def on_done(self):
+        return [{"user_l": self.user, "n": self.n, "total": round(self.total, 4)}]
+
+
+@query("""SELECT user_id AS user_l, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1""")
+def invoke_by_key(spark, d):
+    return invoke(bucket(spark, d, "events").select("user_l", "ts_dt", "value_d"), RunningTotal, "user_l long, n long, total double", by=["user_l"], order=["ts_dt"])
+
+
+@query("""SELECT o_orderstatus AS value, count(*) AS count FROM orders WHERE o_totalprice >= 100000 GROUP BY 1""")
+def user_plan(spark, d):
+    engine = Engine(spark, catalog(spark, d, "orders"))
+    engine.define("dear", lambda e, bucket, options: e.facet(bucket, options["field"], P.between("totalprice_d", options["least"])))
+    return engine.call("dear", bucket="orders", **{"options.field": "orderstatus_s", "options.least": 100_000.0})
+
+
 # Monitoring and streams
 
 
@@ -386,13 +517,49 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/burrow-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex[:12]}"
+def _errors(events: DataFrame) -> DataFrame:
+    """Errors with two stack frames each, made of the events of type error."""
+    frame = lambda n: F.struct(F.concat(F.lit("C"), F.col("user_id")).alias("class_s"), F.lit(n).alias("line_number_i"))
+    failed = events.where("event_type = 'error'")
+    return failed.select(F.col("event_id").cast("string").alias("trace_id_s"), F.col("ts"), F.concat(F.lit("failed "), F.col("event_id")).alias("message"), F.array(frame(10), frame(20)).alias("frames"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS trace_id_s, i AS seq_i, 'C' || user_id AS class_s, (i + 1) * 10 AS line_number_i
+          FROM events, (SELECT unnest([0, 1]) AS i) WHERE event_id = (SELECT min(event_id) FROM events WHERE event_type = 'error')""")
+def error_trace(spark, d):
+    _, frames = monitor.error_rows(_errors(spark.read.parquet(f"{d}/events.parquet")))
+    first = frames.agg(F.min(F.col("trace_id_s").cast("long"))).first()[0]
+    return monitor.trace(frames, str(first)).select("trace_id_s", "seq_i", "class_s", "line_number_i")
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) AS n FROM events)
+          SELECT event_type AS name, count(*) AS n, max(value) FILTER (n = 1) AS newest, round(sum(value), 4) AS total FROM r WHERE n <= 20 GROUP BY 1""")
+def last_metric_values(spark, d):
+    events = bucket(spark, d, "events").select(F.col("type_s").alias("name"), F.col("ts_dt").alias("ts"), "value_d")
+    total = F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4)
+    return monitor.last_values(events, 20).select("name", F.size("values").cast("long").alias("n"), F.get("values", F.lit(0)).alias("newest"), total.alias("total"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS trace_id_s, 'failed ' || event_id AS short_message_t, true AS is_error_b, 2 AS frames FROM events WHERE event_type = 'error'""")
+def log_error_stream(spark, d):
+    path = shared_folder(spark)
+    log_stream(_errors(_event_stream(spark, d)), path, once=True).awaitTermination()
+    heads, frames = spark.read.parquet(f"{path}/log"), spark.read.parquet(f"{path}/error")
+    counted = frames.groupBy("trace_id_s").agg(F.count("*").cast("int").alias("frames"))
+    return heads.select("trace_id_s", "short_message_t", "is_error_b").join(counted, "trace_id_s")
+
+
+@query("""SELECT event_id, event_type FROM events""")
+def stream_dedupe(spark, d):
+    path, events = shared_folder(spark), _event_stream(spark, d).select("event_id", "event_type", "ts")
+    once = distinct_stream(with_event_time(events.unionByName(events), "ts"), ["event_id"]).drop("ts")
+    Taps(spark, path).publish(once, "distinct", f"{path}/channels", once=True).awaitTermination()
+    return Taps(spark, path).published(f"{path}/channels", "dist*").drop("channel")  # as another session would read it
 
 
 @query("""SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase' AND value >= 50""")
 def tap_put(spark, d):
-    taps, channel = Taps(spark, _shared(spark)), f"tap_{uuid.uuid4().hex[:8]}"
+    taps, channel = Taps(spark, shared_folder(spark)), f"tap_{uuid.uuid4().hex[:8]}"
     found = _event_stream(spark, d).select("event_id", "event_type", "value")
     where = P.column((F.col("event_type") == "purchase") & (F.col("value") >= 50))
     taps.tap(found, where, channel, once=True).awaitTermination()
@@ -401,8 +568,7 @@ def tap_put(spark, d):
 
 @query("""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
 def metric_stream(spark, d):
-    channel = f"metrics_{uuid.uuid4().hex[:8]}"
+    path = shared_folder(spark)
     windows = metric_windows(with_event_time(_event_stream(spark, d), "ts"), "event_type", "value", "ts", "1 day")
-    running = windows.writeStream.format("memory").queryName(channel).outputMode("complete").option("checkpointLocation", _shared(spark))
-    running.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(channel).select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "n", F.round("mean", 6).alias("mean"))
+    keep_latest(windows, path, once=True).awaitTermination()
+    return latest(spark, path).select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "n", F.round("mean", 6).alias("mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from burrow.functions.types import typed
 
@@ -48,6 +48,14 @@ class BucketCatalog:
     def keys(self, name: str) -> DataFrame:
         return self[name].select("key")
 
+    def count(self, name: str) -> DataFrame:
+        """One row: name and number of documents."""
+        return self[name].agg(F.count("*").alias("count")).select(F.lit(name).alias("bucket"), "count")
+
+    def fold(self, name: str, **results: Column) -> DataFrame:
+        """One row: aggregates over all documents of a bucket, by name."""
+        return self[name].agg(*[c.alias(n) for n, c in results.items()])
+
     def is_empty(self, name: str) -> bool:
         return name not in self.buckets or self[name].isEmpty()
 
@@ -56,6 +64,10 @@ class BucketCatalog:
         row = [(name, self.n_val, self.partitions, self[name].schema.simpleString())]
         return self.spark.createDataFrame(row, "name string, n_val int, partitions int, schema string")
 
+    def with_ids(self, name: str) -> DataFrame:
+        """The bucket with the column id: the SHA-1 of partition, bucket and key, joined by commas."""
+        return self[name].withColumn("id", F.sha1(F.concat_ws(",", F.col("partition").cast("string"), "bucket", "key").cast("binary")))
+
     def host(self, df: DataFrame) -> DataFrame:
         """df with the column _host: partitions are dealt to hosts in turn."""
         return df.withColumn("_host", F.pmod(F.col("partition"), F.lit(self.hosts)))

@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 ENVELOPE = "bucket string, key string, vclock string, `values` array<struct<metadata: map<string, string>, data: string>>"
 
 
+def as_json(df: DataFrame) -> Column:
+    """A document's own fields as JSON text; fields that are null are absent."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in ("bucket", "key", "partition")]))
+
+
 def wrapped(df: DataFrame) -> DataFrame:
-    """Documents as envelopes with one version each; fields that are null are absent."""
-    fields = [F.col(f"`{c}`") for c in df.columns if c not in ("bucket", "key", "partition")]
-    value = F.struct(F.create_map(F.lit("content-type"), F.lit("text/json")).alias("metadata"), F.to_json(F.struct(*fields)).alias("data"))
+    """Documents as envelopes with one version each."""
+    value = F.struct(F.create_map(F.lit("content-type"), F.lit("text/json")).alias("metadata"), as_json(df).alias("data"))
     return df.select("bucket", "key", F.lit("").alias("vclock"), F.array(value).alias("values"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from burrow.sources.catalog import PARTITIONS, BucketCatalog
 
 #: Key column and field names, table by table. lineitem has no unique key; its key only deals rows to partitions.
+#: A turn's key is its conversation and its number.
 LAYOUT: dict[str, tuple[str, dict[str, str]]] = {
     "region": ("r_regionkey", {"r_name": "name_s"}),
     "nation": ("n_nationkey", {"n_name": "name_s", "n_regionkey": "regionkey_i"}),
@@ -44,7 +45,8 @@ def bucket(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         place = F.struct((F.col(key) * 37 % 180 - 90).cast("double").alias("lat"), (F.col(key) * 91 % 360 - 180).cast("double").alias("lon"))
         fields.append(place.alias("loc_ll"))
     partition = F.pmod(F.col(key), F.lit(PARTITIONS)).cast("int")
-    df = raw.select(F.col(key).alias("_key"), partition.alias("partition"), *fields)
+    whole = F.concat_ws("/", key, "turn") if name == "conversations" else F.col(key)
+    df = raw.select(whole.alias("_key"), partition.alias("partition"), *fields)
     return BucketCatalog(spark).register(name, df, "_key")
 
 

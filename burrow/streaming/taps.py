@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import fnmatch
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from burrow.functions.predicates import Filter, everything
+from burrow.operators.monitor import error_rows
 
 
 @dataclass
@@ -49,6 +52,19 @@ class Taps:
         self.running[f"published-{channel}"] = (writer.trigger(availableNow=True) if once else writer).start()
         return self.running[f"published-{channel}"]
 
+    def published(self, path: str, pattern: str = "*") -> DataFrame:
+        """What any session has published below `path` on the channels that match, with the column channel."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(s.getPath().getName() for s in store.listStatus(root) if s.isDirectory())
+        parts = [self.spark.read.parquet(f"{path}/{n}").withColumn("channel", F.lit(n)) for n in fnmatch.filter(names, pattern)]
+        if not parts:
+            raise KeyError(f"no channel matches {pattern}")
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out
+
     def channels(self, pattern: str = "*") -> list[str]:
         """The channels that match a name with a trailing *."""
         return sorted(fnmatch.filter(self.running, pattern))
@@ -75,6 +91,43 @@ class Taps:
         self.running.pop(channel).stop()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; only one machine can do without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        found = f"file://{tempfile.mkdtemp(prefix='burrow-streams-')}"
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+
+def keep_latest(results: DataFrame, path: str, once: bool = False) -> StreamingQuery:
+    """A stream's complete result after every batch, as files: each batch has a folder of its own, numbered."""
+    writer = results.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint")
+    writer = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch:012d}"))
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The result of the newest whole batch of keep_latest()."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().toString() for s in store.listStatus(root) if s.getPath().getName().startswith("batch=")]
+    return spark.read.parquet(max(f for f in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))))
+
+
+def log_stream(errors: DataFrame, path: str, every: str = "1 second", once: bool = False) -> StreamingQuery:
+    """Errors of a stream (trace_id_s, ts, message, frames) into the tables `log` and `error` below `path`, a batch a second:
+    a document an error, and one a stack frame. A batch that is run again replaces what it wrote."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        for name, rows in zip(("log", "error"), error_rows(df), strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+
+    writer = errors.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def with_event_time(df: DataFrame, time: str, late: str = "10 minutes") -> DataFrame:
     """A stream with a watermark; times without a zone are taken as UTC."""
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
