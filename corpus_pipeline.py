@@ -30,8 +30,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at tempered weights: small ones are repeated, at most twice, and every document is used."""
-    return mixing.mix(docs).select(docs.columns)
+    """Sources at tempered weights: small ones are repeated, at most twice, and every document is used. The uses are dealt out
+    by their places in the permutation and stand in its order, so that what packs them next meets all sources mixed."""
+    mixed = mixing.mix(docs).repartition("epoch", "turn").sortWithinPartitions("epoch", "turn")
+    return mixed.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL can express neither the learnt lexicon nor the fingerprints; tests/llm compares the stages with brute force.
+#: SQL can express neither the learnt lexicon nor the fingerprints; tests/llm compares the operators with brute force.
 ORACLE_SQL = None
 
 
