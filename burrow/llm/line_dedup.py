@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from burrow.llm.store import discard, written
+from burrow.llm.store import discard, renamed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -126,10 +126,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at line feeds. A run counts if it has at least `min_words` words; of equal runs the first stays, by id, then
     by the row's place in the input, then by line. Runs don't cross documents; blank lines neither count nor break a
     run, and are never removed. Whole copies become empty or blank texts; no row is dropped. Null texts stay null; null
-    ids come first; repeated rows are copies like others. All columns stay (one named lines_removed is replaced).
-    An empty table stays empty.
+    ids come first; repeated rows are copies like others. All columns stay, whatever their names (one named lines_removed
+    is replaced). An empty table stays empty.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    docs = docs.drop("lines_removed")
+    plain, id_col, text_col = renamed(docs, id_col, text_col)
+    rows = written(plain.withColumn("__row", F.monotonically_increasing_id()), "rows")
     lines = written(lines_of(rows, text_col, id_col), "lines")
     gone = repeated_lines(lines, min_words)
     discard(lines)
@@ -138,4 +140,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda n: F.get(parts, n))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
-    return joined.withColumn(text_col, text).withColumn("lines_removed", removed).drop("__row", "__gone")
+    done = joined.withColumn(text_col, text).withColumn("lines_removed", removed).drop("__row", "__gone")
+    return done.toDF(*docs.columns, "lines_removed")

@@ -2,7 +2,7 @@
 
 One Aho-Corasick pass over the bytes finds the magic bytes of all known formats. At each place, the format's
 validator follows the structure from there and gives the length of a whole file, or rejects the match. A valid file
-at the start corrects the declared type; valid files further in are carved. Texts can be stored as 8-bit mono
+at the start corrects the declared type; valid files further in, also inside others, are carved. Texts can be stored as 8-bit mono
 WAVE, which keeps every byte, and are read back through the same sniffing.
 """
 
@@ -127,16 +127,23 @@ def gzip(data: bytes, at: int) -> int:
     return min(end, len(data)) - len(inflate.unused_data) - at if inflate.eof else 0
 
 
-def zip_archive(data: bytes, at: int) -> int:
-    """A local header, and an end record whose central directory starts where it says."""
-    end = data.find(b"PK\x05\x06", at + 4)
+@functools.lru_cache(maxsize=1)
+def _archives(data: bytes) -> dict[int, int]:
+    """Where ZIP archives start and stop, by their end records: each says how far before it the central directory and the
+    archive start."""
+    found, end = {}, data.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(data):
         size, offset = U32.unpack_from(data, end + 12)[0], U32.unpack_from(data, end + 16)[0]
-        stop = end + 22 + U16.unpack_from(data, end + 20)[0]
-        if at + offset + size == end and data[at + offset : at + offset + 4] == b"PK\x01\x02" and stop <= len(data):
-            return stop - at
+        stop, start = end + 22 + U16.unpack_from(data, end + 20)[0], end - size - offset
+        if start >= 0 and data[end - size : end - size + 4] == b"PK\x01\x02" and stop <= len(data):
+            found.setdefault(start, stop)
         end = data.find(b"PK\x05\x06", end + 4)
-    return 0
+    return found
+
+
+def zip_archive(data: bytes, at: int) -> int:
+    """A local header, and an end record whose central directory starts where it says."""
+    return _archives(data).get(at, at) - at
 
 
 def pdf(data: bytes, at: int) -> int:
@@ -193,13 +200,16 @@ def _automaton():
 
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of the valid files, outermost only, in order of their offsets."""
-    out, after = [], 0
+    """(offset, length, type) of the valid files in order of their offsets. Those inside another are listed after it; files that
+    only overlap an earlier one are not."""
+    out, around = [], []
     for end, (n, kind, valid) in _automaton().iter(data.decode("latin-1")):
         at = end - n + 1
-        if at >= after and (length := valid(data, at)):
+        while around and around[-1] <= at:
+            around.pop()
+        if (length := valid(data, at)) and (not around or at + length <= around[-1]):
             out.append((at, length, kind or RIFF_TYPES[data[at + 8 : at + 12]]))
-            after = at + length
+            around.append(at + length)
     return out
 
 
@@ -247,7 +257,7 @@ def sniff_media(media: DataFrame, media_col: str = "media", declared_col: str |
     """media with what its bytes show; columns of the same names are replaced.
 
     sniffed_type and sniffed_length: of a valid file at the start (else null and 0). corrected: it isn't of the type
-    that `declared_col` gives. embedded: offset, length and type of the valid files after that, to be cut out with
+    that `declared_col` gives. embedded: offset, length and type of the valid files in and after that, to be cut out with
     carve(). Null and empty media have no type and nothing embedded; all rows and other columns stay.
     """
 

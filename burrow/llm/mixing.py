@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from burrow.llm.store import written
+from burrow.llm.store import renamed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 STEPS = 64  # points that one pass over the sources tries
@@ -86,7 +86,7 @@ def mix(
     repetition_limit: float | None = 2.0,
     budget: int | None = None,
     seed: int = 1,
-    buckets: int = 4096,
+    bucket_rows: float = 4096,
 ) -> DataFrame:
     """The mix: every use of a document is a row, with all its columns, epoch (from 0) and turn (the order in the epoch).
 
@@ -94,20 +94,25 @@ def mix(
     rest of its budget are used, so that it is met to within one document. A null source is a source of its own;
     null and empty texts have no tokens and are used in every whole epoch (sources without tokens once, and in a
     partial epoch where they start within the rest); repeated rows have equal turns and are used like others, null ids
-    too. Columns named epoch and turn are replaced. An empty table gives no rows.
+    too. Columns named epoch and turn are replaced, all other names are free. An empty table gives no rows.
+
+    The hash order of a source is cut into so many buckets, 4,096 at least, that the largest source has at most some `bucket_rows`
+    documents in each; only the bucket in which a budget ends is sorted. The result doesn't depend on it.
     """
+    docs = docs.drop("epoch", "turn")
+    plain, id_col, text_col, source_col = renamed(docs, id_col, text_col, source_col)
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    rows = docs.drop("epoch", "turn").withColumn("__source", source)
+    rows = plain.withColumn("__source", source)
     counted = rows.withColumn("__tokens", words_in(text_col))
-    totals = written(counted.groupBy(F.col("__source").alias("source")).agg(F.sum("__tokens").alias("tokens")), "totals")
+    totals = written(counted.groupBy(F.col("__source").alias("source")).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("rows")), "totals")
     planned = written(plan(totals, target_entropy, repetition_limit, budget), "plan")
     share = planned.select(F.col("source").alias("__source"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"))
 
     def turn(epoch: Column) -> Column:
         return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__source"), epoch.cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
-    width = 16**3 // buckets
-    bucket = F.floor(F.conv(F.substring("__turn", 1, 3), 16, 10).cast("int") / width).cast("int")
+    bits = min(32, max(12, int((totals.agg(F.max("rows")).first()[0] or 0) / bucket_rows).bit_length()))
+    bucket = F.shiftright(F.conv(F.substring("__turn", 1, 8), 16, 10).cast("long"), 32 - bits)
     # The partial epoch: only the bucket in which the rest ends is ordered.
     last = counted.join(share, "__source").where("__rest > 0").withColumn("__turn", turn(F.col("__epochs"))).withColumn("__bucket", bucket)
     sums = last.groupBy("__source", "__bucket", "__rest").agg(F.sum("__tokens").alias("n"))
@@ -127,6 +132,6 @@ def mix(
     before = Window.partitionBy("__source").orderBy("__turn").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("__before", F.col("__start") + F.coalesce(F.sum("__tokens").over(before), F.lit(0)))
     part = part.where("__before < __rest").withColumn("epoch", F.col("__epochs"))
-    out = [*(c for c in rows.columns if c != "__source"), "epoch", "__source"]
+    out = [*rows.columns, "epoch"]
     both = whole.select(*out).unionByName(part.select(*out))
-    return both.withColumn("turn", turn(F.col("epoch"))).drop("__source")
+    return both.withColumn("turn", turn(F.col("epoch"))).drop("__source").toDF(*docs.columns, "epoch", "turn")

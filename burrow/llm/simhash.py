@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from burrow.llm.components import components
 from burrow.llm.jaccard import hashes, similar_groups
-from burrow.llm.store import bucketed, discard, written
+from burrow.llm.store import bucketed, discard, renamed, written
 
 WAYS = 129  # distances that two words of 64 bits can have
 
@@ -254,13 +254,13 @@ def keep_one(
     """docs with one row of each near-duplicate group: the one with the least id, of equal ids the first in the input.
 
     Texts are linked if the exact Jaccard similarity of their shingle sets is at least `similarity`; `radius` only says
-    how many of these links the fingerprints propose. All columns stay, but none may be named __row. Null ids come before
-    others. Rows with empty or null texts are one group. An empty table stays empty.
+    how many of these links the fingerprints propose. All columns stay, whatever their names. Null ids come before others. Rows with empty or null texts are one group. An empty table stays empty.
     """
-    rows = bucketed(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", "__row")
+    plain, id_col, text_col = renamed(docs, id_col, text_col)
+    rows = bucketed(plain.withColumn("__row", F.monotonically_increasing_id()), "rows", "__row")
     found = similar_groups(rows, "__row", text_col, shingle, similarity, lambda prints: proposals(prints, radius, shard_rows)).withColumnRenamed("row", "__row")
     member = found.join(rows.select("__row", F.col(id_col).alias("id")), "__row")
     kept = member.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
     kept = written(kept, "kept")
     discard(found)
-    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row").toDF(*docs.columns)

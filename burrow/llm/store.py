@@ -40,6 +40,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame, *wanted: str) -> tuple[DataFrame, ...]:
+    """df with its columns named c0, c1, ..., which leaves all other names to an operator, and the new names of those wanted."""
+    names = [c.lower() for c in df.columns]
+    return df.toDF(*(f"c{i}" for i in range(len(names)))), *(f"c{names.index(w.lower())}" for w in wanted)
+
+
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """df as a table dealt by a key once: later joins on the key move only the other side. As many buckets as there are
     shuffle partitions."""

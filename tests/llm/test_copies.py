@@ -88,7 +88,8 @@ def test_similarity_mode_keeps_one_of_each_group(spark):
                 changed[at] = word()
             of[len(rows)] = group
             rows.append((len(rows), " ".join(changed)))
-    docs = spark.createDataFrame([*rows, (None, None), (200, ""), (201, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, 5) for r in [*rows, (None, None), (200, ""), (201, None)]], "doc_id long, text string, __row int")
+    assert simhash.keep_one(docs).columns == docs.columns
     kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
     # All originals stay; copies go but for those that are less similar than 0.8.
     assert {i for i in of if i % 3 == 0} <= set(kept) and kept.count(None) == 1
@@ -132,7 +133,7 @@ def test_line_dedup(spark, seed, least):
     lines = ["a", "b b", "c c c", "", " ", "d", "e e"]
     rows = [(draw.choice([None, 1, 2, 3, 4]), "\n".join(draw.choice(lines) for _ in range(draw.randint(0, 12)))) for _ in range(50)]
     rows += [(9, None), (9, ""), (9, "\n\n"), (5, "x y " * 20_000), (6, "x y " * 20_000)]
-    docs = spark.createDataFrame([(*r, i, "clash") for i, r in enumerate(rows)], "doc_id long, text string, k int, lines_removed string").coalesce(1)
+    docs = spark.createDataFrame([(*r, i, -i, "c0", "clash") for i, r in enumerate(rows)], "doc_id long, text string, k int, __row int, c0 string, lines_removed string").coalesce(1)
     found = dedup_lines(docs, min_words=least)
     assert found.columns == docs.columns
     assert {r.k: (r.text, r.lines_removed) for r in found.collect()} == plain_line_dedup(rows, least)

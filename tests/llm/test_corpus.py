@@ -6,6 +6,8 @@ import math
 import os
 import random
 import struct
+import time
+import wave
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -158,23 +160,36 @@ def test_sniffing():
         assert all(k != kind or n < len(data) for _, n, k in media.sniff(data[:-1])), kind
     joined = b"".join(kinds.values())
     assert [k for _, _, k in media.sniff(joined)] == list(kinds)
+    inner = media.wave_of(pdf + png)  # nested, and nested again
+    outer = media.wave_of(b"x" + inner)
+    assert media.sniff(outer) == [(0, len(outer), "audio/wav"), (45, len(inner), "audio/wav"), (89, len(pdf), "application/pdf"), (89 + len(pdf), len(png), "image/png")]
+    started = time.monotonic()
+    assert media.sniff(b"PK\x03\x04" * 40_000 + box.getvalue()) == [(160_000, len(box.getvalue()), "application/zip")]
+    assert time.monotonic() - started < 1
     for junk in (b"", b"RIFF", b"BM", b"%PDF-", b"GIF89a", b"PK\x03\x04", b"OggS" * 50, b"\x1f\x8b\x08" * 9, b"\xff\xd8\xff" * 9, b"\x89PNG\r\n\x1a\n"):
         assert media.sniff(junk) == []
 
 
 def test_media_columns(spark):
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "it's '''s"), (None, "x" * 64), (50, "RIFF BM GIF89a %PDF-1.4 startxref %%EOF")]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "it's '''s"), (None, "x" * 64), (50, "RIFF BM GIF89a %PDF-1.4"), (51, "see %PDF-1.4 startxref %%EOF")]
     docs = spark.createDataFrame([(*r, b"q") for r in rows], "doc_id long, text string, media binary")
     stored = media.store_texts(docs).withColumn("declared", F.lit("image/png"))
     sniffed = media.sniff_media(stored, declared_col="declared")
     assert {(r.sniffed_type, r.corrected) for r in sniffed.collect()} == {("audio/wav", True)}
-    found = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.read_back(sniffed).collect())
+    back = media.read_back(sniffed)
+    found = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in back.collect())
     want = Counter()
     for doc, text in rows:
         raw = (text or "").encode()
         whole = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        want[(doc, len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))] += 1
+        file = io.BytesIO()
+        with wave.open(file, "wb") as f:  # an independent writer
+            f.setnchannels(1), f.setsampwidth(1), f.setframerate(8000), f.writeframes(whole)
+        held = file.getvalue()
+        feature = f"audio/wav*;mean={sum(whole) / len(whole):.3f};max={max(whole)};embedded={int(doc == 51)}"
+        want[(doc, len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]), len(held), hashlib.sha256(held).hexdigest(), feature)] += 1
     assert found == want
+    assert [bytes(r.carved) for r in media.carve(sniffed).collect()] == [b"%PDF-1.4 startxref %%EOF"]
     blob = spark.createDataFrame([(1, b"xx" + media.wave_of(b"abcd") + b"yy"), (2, None), (3, b"")], "k int, media binary")
     assert [bytes(r.carved) for r in media.carve(media.sniff_media(blob)).collect()] == [media.wave_of(b"abcd")]
     assert media.read_back(media.sniff_media(media.store_texts(docs.where("false")))).count() == 0
@@ -184,8 +199,11 @@ def test_mixing(spark):
     draw = random.Random(3)
     rows = [(i, "w " * draw.randint(0, 30), draw.choice(["a"] * 12 + ["b"] * 3 + ["c", None])) for i in range(600)]
     rows += [(1, "same row", "b"), (1, "same row", "b"), (None, None, "empty"), (700, "", "empty"), (701, "long " * 50_000, "a")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, epoch string")
-    found = mixing.mix(docs, repetition_limit=3.0, buckets=16).collect()
+    docs = spark.createDataFrame([(*r, "x", i % 7, "y") for i, r in enumerate(rows)], "doc_id long, text string, source string, epoch string, __turn int, c0 string")
+    found = mixing.mix(docs, repetition_limit=3.0).collect()
+    assert found[0].asDict().keys() == {*docs.columns, "turn"}
+    # The buckets are only a way to sort less.
+    assert Counter(found) == Counter(mixing.mix(docs, repetition_limit=3.0, bucket_rows=1e-6).collect())
     uses, words = defaultdict(Counter), Counter()
     for r in found:
         uses[r.source][(r.doc_id, r.text)] += 1
