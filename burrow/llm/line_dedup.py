@@ -135,7 +135,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = written(lines_of(rows, text_col, id_col), "lines")
     gone = repeated_lines(lines, min_words)
     discard(lines)
-    joined = rows.join(gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone")), "__row", "left")
+    # Deletions grow with the corpus, and the size of a file of coded lists is no bound for their size in memory: they are
+    # dealt with the texts at any size, never broadcast. A partition's deletions are few beside its texts, which aren't sorted.
+    told = gone.select(F.col("row").alias("__row"), F.col("lines").alias("__gone"))
+    joined = rows.join(told.hint("shuffle_hash"), "__row", "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda n: F.get(parts, n))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
